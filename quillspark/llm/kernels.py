@@ -29,6 +29,8 @@ def randoms(seed: int, n: int) -> np.ndarray:
 
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+IS_LETTER = np.zeros(256, dtype=bool)  # letters, and all bytes of characters beyond ASCII
+IS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BYTE_VALUE = randoms(11, 256)[LOWER]
@@ -63,18 +65,18 @@ def segments(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.nd
         row = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of the first word of each row and of the end) for the rows that ``offsets`` cut."""
     hashes, starts_at, at = [], [], 0
     is_start = np.zeros(len(data) + 1, dtype=bool)
     is_start[offsets] = True
     while at < len(data):
         end = min(len(data), at + PIECE)
-        while end < len(data) and IS_WORD[data[end]]:
-            gap = np.flatnonzero(~IS_WORD[data[end : end + PIECE]])
+        while end < len(data) and in_word[data[end]]:
+            gap = np.flatnonzero(~in_word[data[end : end + PIECE]])
             end = end + int(gap[0]) if len(gap) else min(len(data), end + PIECE)
         piece = data[at:end]
-        word = IS_WORD[piece]
+        word = in_word[piece]
         joined = np.zeros(len(piece) + 1, dtype=bool)  # at i: the bytes before and at i belong to one word
         np.logical_and(word[1:], word[:-1], out=joined[1:-1])
         joined[:-1] &= ~is_start[at:end]
