@@ -31,6 +31,8 @@ IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 IS_LETTER = np.zeros(256, dtype=bool)  # letters, and all bytes of characters beyond ASCII
 IS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+IS_ALNUM = IS_LETTER.copy()
+IS_ALNUM[48:58] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BYTE_VALUE = randoms(11, 256)[LOWER]
