@@ -91,16 +91,19 @@ def _ranked(placed: DataFrame, starts: DataFrame, small: bool) -> DataFrame:
     p, s = placed.withColumn("__inside", inside).alias("p"), starts.alias("s")
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in _KEY]
     joined = p.join(F.broadcast(s) if small else s, same[0] & same[1] & same[2], "inner")
-    return joined.select("p.*", "s.source_size", "s.target", "s.rate", "s.first_offset", (F.col("__before") + F.col("__inside")).alias("__rank"))
+    return joined.select("p.*", F.col("s.source_size").alias("__source_size"), F.col("s.target").alias("__target"), F.col("s.rate").alias("__rate"),
+                         F.col("s.first_offset").alias("__offset"), (F.col("s.__before") + F.col("p.__inside")).alias("__rank"))
 
 
-def mix_sources(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def mix_sources(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = (1, 2, 3), prefix: str = "") -> DataFrame:
     """``docs`` (with doc_id and source) with size, source_size, target and copies; columns of those names are replaced.
 
+    ``prefix`` goes before the new names.
+
     Size is the number of words; a null text has none. A source without words takes none. A null source is a source. Rows
     that agree in id and size are interchangeable. Reruns agree. Clashing column names starting with ``__`` are dropped.
     """
-    added = {"size", "source_size", "target", "copies"}
+    added = {prefix + c for c in ("size", "source_size", "target", "copies")}
     kept = [c for c in docs.columns if c.lower() not in added and not c.startswith("__")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     narrow = written(_placed(docs.select("doc_id", "source", F.col(f"`{text}`").alias("__text")), "__text").drop("__text"), "mix")
@@ -113,21 +116,23 @@ def mix_sources(docs: DataFrame, text: str = "text", weights: tuple[int, ...] =
     # At most 16 groups for each of a few hundred size classes of a source: the table follows the number of sources only.
     starts = written(starts, "mix-starts")
     small = starts.count() <= BROADCAST_GROUPS
-    tries = [F.col("first_offset") + i * (UNIT // OFFSETS) for i in range(OFFSETS)]
+    tries = [F.col("__offset") + i * (UNIT // OFFSETS) for i in range(OFFSETS)]
     gaps = F.array_sort(F.array(*[
-        F.struct(F.abs(F.sum(_crossed(F.col("rate"), F.col("__rank"), o % UNIT) * F.col("__size")) - F.first("target")).alias("gap"), F.lit(i).alias("i"))
+        F.struct(F.abs(F.sum(_crossed(F.col("__rate"), F.col("__rank"), o % UNIT) * F.col("__size")) - F.first("__target")).alias("gap"), F.lit(i).alias("i"))
         for i, o in enumerate(tries)]))
-    best = _ranked(narrow, starts, small).groupBy("source", "first_offset").agg(gaps[0]["i"].alias("i"))
-    best = best.select("source", ((F.col("first_offset") + F.col("i") * (UNIT // OFFSETS)) % UNIT).alias("offset"))
+    best = _ranked(narrow, starts, small).groupBy("source", "__offset").agg(gaps[0]["i"].alias("i"))
+    best = best.select("source", ((F.col("__offset") + F.col("i") * (UNIT // OFFSETS)) % UNIT).alias("offset"))
     s, b = starts.alias("s"), best.alias("b")
     chosen = written(
         s.join(b, F.col("s.source").eqNullSafe(F.col("b.source"))).select("s.*", "b.offset").drop("first_offset").withColumnRenamed("offset", "first_offset"),
         "mix-offsets")
-    copies = _crossed(F.col("rate"), F.col("__rank"), F.col("first_offset"))
+    copies = _crossed(F.col("__rate"), F.col("__rank"), F.col("__offset"))
     return _ranked(_placed(docs, text), chosen, small).select(
-        *[F.col(f"`{c}`") for c in kept], F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"))
+        *[F.col(f"`{c}`") for c in kept], F.col("__size").alias(f"{prefix}size"), F.col("__source_size").alias(f"{prefix}source_size"),
+        F.col("__target").alias(f"{prefix}target"), copies.alias(f"{prefix}copies"))
 
 
-def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def emit(mixed: DataFrame, columns: list[str], copies: str = "copies") -> DataFrame:
     """Each document once for each of its copies."""
-    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    repeated = mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in columns])

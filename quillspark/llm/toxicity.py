@@ -122,15 +122,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", held_out: int =
     return np.frombuffer(bytes(model["h"]), dtype=np.uint64), np.frombuffer(bytes(model["w"])), model["b"]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if score >= 0.5); columns of those names are replaced.
 
+    ``prefix`` goes before the new names.
+
     Null and empty texts get the score of the bias alone; the text is all that a score reads. Repeated rows score alike.
     """
     words, weights, bias = model
-    kept = [c for c in docs.columns if c.lower() not in {"score", "predicted"}]
+    kept = [c for c in docs.columns if c.lower() not in {prefix + "score", prefix + "predicted"}]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(prefix + "score", T.DoubleType())])
     maybe = np.zeros(1 << 16, dtype=bool)
     maybe[words & np.uint64(0xFFFF)] = True
 
@@ -148,6 +150,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
                 sums = np.bincount(pairs // max(1, len(words)), weights=weights[pairs % max(1, len(words))], minlength=n)
                 with np.errstate(over="ignore"):
                     scores[row : row + n] = 1 / (1 + np.exp(-(sums + bias)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*kept, prefix + "score"])
 
-    return source.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return source.mapInArrow(run, schema).withColumn(prefix + "predicted", (F.col(prefix + "score") >= 0.5).cast("int"))
