@@ -83,6 +83,11 @@ def routing_form(text: Column) -> Column:
     return compact(F.translate(text, ROUTING_FROM, ROUTING_TO))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def first_of(values: Column) -> Column:
     """The first non-null element; null if there is none."""
     return F.get(F.filter(values, lambda x: x.isNotNull()), 0)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions.text import contains_any, filled_lines, half_width, lines, trimmed_lines
@@ -42,6 +43,17 @@ def _error(code: str, message: str, document_type: str | None = None, ocr_requir
                     F.lit(None).alias("invoice_type"), F.lit(ocr_required).alias("ocr_required")).cast(ERROR)
 
 
+_built: dict = {}
+
+
+def _once(name: str, build: Callable[[], Column]) -> Column:
+    """The expression ``name``, built once a Spark application: its inputs are columns of fixed names."""
+    key = (SparkContext._active_spark_context.applicationId, name)
+    if key not in _built:
+        _built[key] = build()
+    return _built[key]
+
+
 def _with_inputs(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in df.columns})
 
@@ -51,12 +63,12 @@ def _invoice_columns(df: DataFrame) -> DataFrame:
     mine = F.col("layout").isin("general", "special")
     df = df.withColumn("__t", F.when(mine, half_width(F.col("__read"))))
     df = df.withColumn("__lines", lines(F.col("__t")))
-    df = df.withColumn("__trimmed", trimmed_lines(F.col("__lines")))
-    df = df.withColumn("__filled", F.filter("__trimmed", lambda x: x != ""))
+    df = df.withColumn("__trimmed", _once("trimmed", lambda: trimmed_lines(F.col("__lines"))))
+    df = df.withColumn("__filled", _once("filled", lambda: F.filter("__trimmed", lambda x: x != "")))
     t, rows, filled = F.col("__t"), F.col("__trimmed"), F.col("__filled")
-    parts = {"__parties": parties(t, filled), "__totals": totals(t, filled), "__gross": price_and_tax(t, rows)}
-    df = df.withColumns({k: F.when(mine, v) for k, v in parts.items()})
-    return df.withColumn("__items", F.when(mine, items(F.col("__lines"), rows)))
+    parts = {"__parties": lambda: parties(t, filled), "__totals": lambda: totals(t, filled), "__gross": lambda: price_and_tax(t, rows),
+             "__items": lambda: items(F.col("__lines"), rows)}
+    return df.withColumns({k: F.when(mine, _once(k, v)) for k, v in parts.items()})
 
 
 def _invoice_record() -> Column:
@@ -105,7 +117,7 @@ def parse_documents(
     alive = F.col("__early").isNull()
     if has_bytes and text_layer:
         df = provided(df, "text", alive & (form == "pdf"), text_layer)
-    df = df.withColumn("__usable", (form == "pdf") & ~unusable_text(F.col("text")))
+    df = df.withColumn("__usable", (form == "pdf") & ~_once("unusable", lambda: unusable_text(F.col("text"))))
     has_metadata = F.coalesce(F.size("metadata") > 0, F.lit(False))
     stuck = alive & (form == "pdf") & ~F.col("__usable") & ~has_metadata
     if has_bytes and qr_reader:
@@ -122,8 +134,8 @@ def parse_documents(
         .when((form == "image") & may_ocr, "ocr").when((form == "ofd") & is_air, "fields"))
     df = df.withColumn("__via", via)
     df = df.withColumn("__read", F.when(F.col("__via") == "text", F.col("text")).when((F.col("__via") == "ocr") & ~too_short(F.col("ocr_text")), F.col("ocr_text")))
-    df = df.withColumn("layout", layout(F.col("__read")))
-    df = df.withColumn("__qr", F.when(F.col("__via") == "qr", qr_record(F.col("qr_payload"))))
+    df = df.withColumn("layout", _once("layout", lambda: layout(F.col("__read"))))
+    df = df.withColumn("__qr", F.when(F.col("__via") == "qr", _once("qr", lambda: qr_record(F.col("qr_payload")))))
     late = (
         F.when(F.col("layout").isNotNull() | F.col("__via").isin("metadata", "fields"), none)
         .when(F.col("__via") == "qr", F.when(F.col("__qr.invoice_number").isNull(), _error("parse_failed", "qr")))
@@ -138,17 +150,17 @@ def parse_documents(
         .otherwise(_error("rule_unhandled", "unread", "pdf-fapiao", True)))
     df = _invoice_columns(df.withColumn("__error", F.coalesce("__early", late)))
     read = F.col("__read")
-    # one stage a layout keeps each compiled method small
-    df = df.withColumn("__invoice", F.when(F.col("layout").isin("general", "special"), _invoice_record()))
-    df = df.withColumn("__rail", F.when(F.col("layout") == "rail", rail(read)))
-    df = df.withColumn("__air", F.when(F.col("layout") == "air", air_from_text(read, filled_lines(lines(read)))))
-    df = df.withColumn("__ofd", F.when(F.col("__via") == "fields", air_from_fields(F.col("fields"))))
-    df = df.withColumn("__meta", F.when(F.col("__via") == "metadata", metadata_record(F.col("metadata"), F.col("text"))))
+    records = {
+        "__invoice": (F.col("layout").isin("general", "special"), _invoice_record), "__rail": (F.col("layout") == "rail", lambda: rail(read)),
+        "__air": (F.col("layout") == "air", lambda: air_from_text(read, filled_lines(lines(read)))),
+        "__ofd": (F.col("__via") == "fields", lambda: air_from_fields(F.col("fields"))),
+        "__meta": (F.col("__via") == "metadata", lambda: metadata_record(F.col("metadata"), F.col("text")))}
+    df = df.withColumns({k: F.when(where, _once(k, build)) for k, (where, build) in records.items()})
     df = df.withColumn("__raw", F.coalesce("__invoice", "__rail", "__air", "__ofd", "__meta", "__qr"))
     by = F.when(F.col("__via") == "ocr", "ocr").when(F.col("__via") == "qr", "qrcode").otherwise("text_layer")
     vendor = F.when(F.col("__via") == "ocr", F.lit(ocr_vendor))
     ok = F.col("__error").isNull()
-    df = df.withColumn("data", F.when(ok, normalized(F.col("__raw"), form, by, vendor)))
+    df = df.withColumn("data", F.when(ok, _once(f"data {ocr_vendor}", lambda: normalized(F.col("__raw"), form, by, vendor))))
     code = F.col("__error.code")
     engine = F.struct(
         F.lit("attempted").alias("rule_engine"), F.when(mode.isin(*OCR_MODES), mode).otherwise("auto").alias("ocr_mode"),

@@ -112,12 +112,13 @@ def stacked() -> Column:
 
 
 def toll() -> Column:
-    """The first line of the order as a toll, over two lines, with everything unlabelled."""
+    """The first line of the order as a toll, over two lines, with everything unlabelled, thirty years later."""
     x = F.col("rows")[0]
-    day = F.date_format("day", "yyyyMMdd")
+    later = F.add_months("day", 360)  # this layout knows years from 2000 on
+    day = F.date_format(later, "yyyyMMdd")
     return _text([
         "电子发票(普通发票)", "发票号码:", "开票日期:", "项目名称 车牌号 车辆类型 通行日期起 通行日期止 金额 税率/征收率 税额", "合 计", "价税合计(大写) (小写)",
-        F.concat(number(), F.lit(" "), day_text(), F.lit(" "), buyer_id()),
+        F.concat(number(), F.lit(" "), F.date_format(later, "yyyy年MM月dd日"), F.lit(" "), buyer_id()),
         F.concat(seller(), seller_id(), F.lit(" *经营租赁*通行费 浙A00000 客车")),
         F.concat(day, F.lit(" "), cents_text(x["cents"]), F.lit(" "), x["rate"].cast("string"), F.lit("% "), cents_text(x["tax"]), F.lit(" "),
                  _yuan(x["cents"]), F.lit(" 壹佰圆整 王五 "), _yuan(x["cents"] + x["tax"]), F.lit(" "), day, F.lit(" "), buyer(), F.lit(" "), _yuan(x["tax"]))])

@@ -275,7 +275,8 @@ SQL = {
     "parse_tax_free": _field_sql(tax="NULL", gross="net"),
     "parse_special": _field_sql("digital_special"),
     "parse_stacked_layout": _field_sql(),
-    "parse_toll": _field_sql(net="fc", tax="fx", gross="fc + fx", n="1", base=FIRST_LINE, table="b1"),
+    "parse_toll": _field_sql(net="fc", tax="fx", gross="fc + fx", n="1", base=FIRST_LINE, table="b1").replace(
+        "issued AS issue_date", "strftime(day + INTERVAL 30 YEAR, '%Y-%m-%d') AS issue_date"),
     "parse_items_exploded": BASE + f"""SELECT i.k, '*商品*' || CASE WHEN p % 2 = 1 THEN ' ' ELSE '' END || 'P' || p AS item_name, {_cents('c')} AS item_amount,
       r || '%' AS item_tax_rate, {_cents('x')} AS item_tax_amount FROM i JOIN b ON b.k = i.k""",
     "parse_rail": BASE + f"""SELECT k, 'pdf-rail-12306' AS document_type, number AS invoice_number, issued AS issue_date, buyer, {_cents('net')} AS gross,
