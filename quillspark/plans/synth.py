@@ -61,11 +61,12 @@ def _col(p) -> Column:
     return p if isinstance(p, Column) else F.lit(p)
 
 
-def _text(parts: list) -> Column:
+def _text(parts: list, widths: bool = True) -> Column:
+    """Lines in Unix or DOS form, with half- or (if ``widths``) full-width signs, as the key decides."""
     arrays = [p.column if isinstance(p, _Rows) else F.array(_col(p)) for p in parts]
     text = F.array_join(F.concat(*arrays), "\n")
     text = F.when(F.col("k") % 2 == 0, F.regexp_replace(text, "\n", "\r\n")).otherwise(text)
-    return F.when(F.col("k") % 3 == 0, F.translate(text, ":()", "：（）")).otherwise(text)
+    return F.when(F.col("k") % 3 == 0, F.translate(text, ":()", "：（）")).otherwise(text) if widths else text
 
 
 HEAD = "项目名称 规格型号 单位 数量 单价 金额 税率/征收率 税额"
@@ -130,7 +131,7 @@ def rail() -> Column:
         F.concat(F.lit("购买方名称:"), buyer(), F.lit(" 统一社会信用代码:"), buyer_id()), F.concat(F.lit("电子客票号:E"), F.col("k").cast("string")),
         "出发站 车次 到达站", F.concat(F.lit("甲"), F.col("cust").cast("string"), F.lit(" G"), F.lpad((F.col("k") % 9000 + 100).cast("string"), 4, "0"), F.lit(" 乙"), F.col("supp").cast("string")),
         F.concat(day_text(), F.lit(" 08:15开 检票口1 二等座")), F.concat(F.lit("110000********"), F.lpad((F.col("k") % 10000).cast("string"), 4, "0"), F.lit(" 张三")),
-        _yuan(F.col("net"))])
+        _yuan(F.col("net"))], widths=False)
 
 
 def air() -> Column:
@@ -144,7 +145,7 @@ def air() -> Column:
         "承运人", "航班号", "座位等级", "日期", "时间", F.concat(F.lit("自:甲"), F.col("cust").cast("string")), "CA", F.concat(F.lit("CA"), (F.col("k") % 9000 + 1000).cast("string")),
         "Y", day_text(), "08:15", "Y", "20K", F.concat(F.lit("至:乙"), F.col("supp").cast("string")), "票价", "燃油附加费", "增值税税率", "增值税税额", "民航发展基金", "其他税费", "合计",
         cny(net), "CNY 9.00", "9%", cny(tax), "CNY 50.00", "CNY 0.00", cny(net + tax), F.concat(F.lit("电子客票号码:78"), F.lpad(F.col("k").cast("string"), 11, "0")),
-        "填开单位:某航空服务有限公司", F.concat(F.lit("填开日期:"), day_text()), F.concat(F.lit("购买方名称:"), buyer())])
+        "填开单位:某航空服务有限公司", F.concat(F.lit("填开日期:"), day_text()), F.concat(F.lit("购买方名称:"), buyer())], widths=False)
 
 
 def qr() -> Column:
