@@ -2,16 +2,19 @@
 
 A text's set holds its distinct n-word shingles. Texts of equal sets form a class at once; the join runs on classes.
 
-Sketch: each shingle flips one bit of one of ``parts`` 64-bit words, so the Hamming distance of two sketches is at most the
-symmetric difference of the sets. A pair above the threshold differs in at most D = (x + y) * (1 - t) / (1 + t) shingles.
+Sketch: shingles are XOR-hashed into 64-bit words. In the folded sketch each flips one bit, so the Hamming distance of two
+sketches is at most the symmetric difference of the sets. In the words of a size band each flips many bits of one word, so at
+most as many words differ. A pair above the threshold differs in at most D = (x + y) * (1 - t) / (1 + t) shingles.
 With more than D words at least one word of the two sketches is equal (pigeonhole), so classes that share no word of a size
 band cannot be linked. Bands grow by half; a class also visits the bands that its larger partners live in. Words without any
 bit say little; with ``spare`` more words, a class with at most ``spare`` such words need not send them.
 
-Candidates: classes that share a sketch word form a bucket. First each bucket pairs its least class with the others, and
-those pairs are verified on the whole sets. That joins most of each group, without all pairs in it. What is left are buckets
-that still hold several components: their members come together with folded sketches, and pairs across components whose
-folded sketches are near enough are verified as well. So a link is lost nowhere, and no bucket lists its pairs.
+Candidates: classes that share a sketch word form a bucket. First each bucket pairs its least class with the others. A pair
+whose folded sketches (512 bits) are too far apart is no link. Of the rest each class is verified with the one it shares most
+buckets with, on the whole sets, and then with others only while they are in different components. That joins most of each
+group, without all pairs in it. What is left are buckets that still hold several components: their members are compared
+across components by folded sketches, in cells of bounded size, and near pairs are verified as well. So a link between
+components is lost nowhere, and no bucket lists its pairs.
 
 A bucket's rows are combined before the shuffle: a batch pairs its own members with the least of them and sends on that
 one only. Every step is a table in the shared folder.
@@ -26,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.kernels import mix, segments, shingle_sets
-from quillspark.llm.storage import small_enough, written
+from quillspark.llm.storage import discarded, small_enough, tidied, written
 
 U64 = np.uint64
 BROADCAST_ROWS = 300_000
 FOLD_WORDS = 8  # 64-bit words of the folded sketch
-CHUNK = 1024  # members of a bucket compared at a time
+CHUNK = 1024  # members compared at a time
+CELL = 4096  # members of a bucket that meet in one group; larger buckets are compared cell by cell
 _KEY_BITS, _ID_BITS = 52, 12  # a bucket row packs the key and the upper bits of the class in one long
 
 
@@ -70,17 +74,18 @@ class Threshold:
         return self.den * common >= self.num * (len(a) + len(b) - common)
 
 
-def sketch(shingles: np.ndarray, words: int) -> np.ndarray:
+def sketch(shingles: np.ndarray, words: int, flips: np.ndarray) -> np.ndarray:
+    """``words`` words; each shingle flips the bits ``flips`` of one of them."""
     out = np.zeros(words, dtype=U64)
-    np.bitwise_xor.at(out, ((shingles >> U64(6)) % U64(words)).astype(np.int64), U64(1) << (shingles & U64(63)))
+    np.bitwise_xor.at(out, ((shingles >> U64(6)) % U64(words)).astype(np.int64), flips)
     return out
 
 
 def bucket_keys(shingles: np.ndarray, t: Threshold) -> np.ndarray:
     """The keys, of ``_KEY_BITS`` bits, of the buckets that a set goes to."""
-    keys = [np.zeros(0, dtype=U64)]
+    keys, flips = [np.zeros(0, dtype=U64)], mix(shingles)
     for band, words, spare in t.bands(len(shingles)):
-        s = sketch(shingles, words)
+        s = sketch(shingles, words, flips)
         place = np.arange(words, dtype=U64) + U64(band << 40)
         if np.count_nonzero(s == 0) <= spare:
             place, s = place[s != 0], s[s != 0]
@@ -90,7 +95,7 @@ def bucket_keys(shingles: np.ndarray, t: Threshold) -> np.ndarray:
 
 def folded(shingles: np.ndarray) -> np.ndarray:
     """A sketch of ``FOLD_WORDS`` words, whatever the size of the set."""
-    return sketch(shingles, FOLD_WORDS)
+    return sketch(shingles, FOLD_WORDS, U64(1) << (shingles & U64(63)))
 
 
 def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
@@ -101,10 +106,10 @@ def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _features(docs: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """(doc_id, text_key, n_shingles, high, low, keys): class and bucket keys of each text."""
+    """(doc_id, text_key, n_shingles, high, low, keys, sketch): class, bucket keys and folded sketch of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, high, low, keys = [], [], [], []
+            sizes, high, low, keys, folds = [], [], [], [], []
             for _, data, offsets in segments(batch.column(2)):
                 for s in shingle_sets(data, offsets, n):
                     a, b = _fingerprint(s)
@@ -112,11 +117,13 @@ def _features(docs: DataFrame, n: int, t: Threshold) -> DataFrame:
                     high.append(a)
                     low.append(b)
                     keys.append(bucket_keys(s, t).tobytes())
+                    folds.append(folded(s).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(high, pa.int32()), pa.array(low, pa.int64()), pa.array(keys, pa.binary())],
-                names=["doc_id", "text_key", "n_shingles", "high", "low", "keys"])
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(high, pa.int32()), pa.array(low, pa.int64()),
+                 pa.array(keys, pa.binary()), pa.array(folds, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n_shingles", "high", "low", "keys", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, high int, low long, keys binary")
+    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, high int, low long, keys binary, sketch array<long>")
 
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -141,14 +148,19 @@ def _key_starts(a: np.ndarray) -> np.ndarray:
 
 
 def _pairs(hub_a, hub_b, a, b) -> pa.RecordBatch:
-    """Distinct rows (least class, other class)."""
+    """Distinct rows (least class, other class) and the number of buckets that they share."""
     mask = U64((1 << _ID_BITS) - 1)
-    rows = np.unique(np.stack([(hub_a & mask).view(np.int64), hub_b, (a & mask).view(np.int64), b], axis=1), axis=0)
-    columns = [pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3])]
-    return pa.RecordBatch.from_arrays(columns, names=["high", "low", "high2", "low2"])
+    rows = np.stack([(hub_a & mask).view(np.int64), hub_b, (a & mask).view(np.int64), b], axis=1)
+    rows = rows[np.lexsort(rows.T)]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    shared = np.diff(np.append(np.flatnonzero(new), len(rows)))
+    rows = rows[new]
+    columns = [pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3]), pa.array(shared)]
+    return pa.RecordBatch.from_arrays(columns, names=["high", "low", "high2", "low2", "shared"])
 
 
-_PAIR = "high int, low long, high2 int, low2 long"
+_PAIR = "high int, low long, high2 int, low2 long, shared long"
 
 
 def _local_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,13 +206,13 @@ def _class(high: str = "high", low: str = "low"):
 
 
 def _candidates(features: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes that share a bucket, each with the bucket's least."""
+    """(a, b, shared): pairs of classes that share buckets, each with the bucket's least."""
     rows = features.select("high", "low", "keys").where("n_shingles > 0")
     inside = rows.mapInArrow(_local_pairs, _PAIR)
     sent = rows.mapInArrow(_sent, "a long, b long")
     dealt = sent.repartition(F.shiftrightunsigned("a", _ID_BITS)).sortWithinPartitions("a", "b")
     pairs = inside.unionByName(dealt.mapInArrow(_met, _PAIR)).where("high <> high2 or low <> low2")
-    return pairs.select(_class().alias("a"), _class("high2", "low2").alias("b")).distinct()
+    return pairs.groupBy(_class().alias("a"), _class("high2", "low2").alias("b")).agg(F.sum("shared").alias("shared"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: Threshold) -> DataFrame:
@@ -217,7 +229,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: Threshold) -> DataF
                 linked += [t.linked(x, y) for x, y in zip(*sets, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return both.mapInArrow(run, "a string, b string, linked boolean")
+    return both.mapInArrow(run, "a string, b string, linked boolean").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,65 +262,117 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _across(members: DataFrame, n: int, t: Threshold) -> DataFrame:
+def _sketches_near(t: Threshold, x: str, y: str):
+    """Whether a pair may be linked, by the sizes and folded sketches of its sides; columns ``size_*`` and ``sketch_*``."""
+    size_x, size_y = F.col(f"size_{x}"), F.col(f"size_{y}")
+    bits = F.zip_with(f"sketch_{x}", f"sketch_{y}", lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    apart = F.aggregate(bits, F.lit(0), lambda n, k: n + k)
+    fits = F.least(size_x, size_y) * t.den >= F.greatest(size_x, size_y) * t.num
+    return fits & (apart * (t.den + t.num) <= (size_x + size_y) * (t.den - t.num))
+
+
+def _sides(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``pairs`` (a, b) with the columns of ``table`` (class, ...) for both sides, named with _a and _b."""
+    for side in ("a", "b"):
+        named = table.select(F.col("class").alias(side), *[F.col(c).alias(f"{new}_{side}") for c, new in columns.items()])
+        pairs = pairs.join(named, side, "left")
+    return pairs
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose sides are in different components, with root_a and root_b."""
+    named = _sides(pairs, roots.withColumnRenamed("node", "class"), {"root": "root"})
+    named = named.withColumns({f"root_{x}": F.coalesce(f"root_{x}", x) for x in ("a", "b")})
+    return named.where("root_a <> root_b")
+
+
+def _forest(pairs: list[tuple[int, int, int]], part: np.ndarray) -> list[tuple[int, int]]:
+    """Of (distance, i, j) the pairs that join components which no nearer pair has joined."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    kept = []
+    for _, i, j in sorted(pairs):
+        a, b = root(int(part[i])), root(int(part[j]))
+        if a != b:
+            up[a] = b
+            kept.append((i, j))
+    return kept
+
+
+def _across(members: DataFrame, t: Threshold, every: bool) -> DataFrame:
     """(a, b): pairs of classes in one bucket, of different components, whose folded sketches are near enough to be linked.
 
-    members: class, component, text.
+    members: class, root, size, sketch, keys. Unless ``every``, a bucket gives only the nearest pairs that would join its
+    components, fewer than it has members.
     """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, offsets in segments(batch.column(2)):
-                for i, s in enumerate(shingle_sets(data, offsets, n)):
-                    keys = bucket_keys(s, t)
-                    repeat = [pa.array([batch.column(c)[row + i].as_py()] * len(keys), pa.string()) for c in (0, 1)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.view(np.int64)), *repeat, pa.array([len(s)] * len(keys), pa.int64()),
-                         pa.array([folded(s).tobytes()] * len(keys), pa.binary())],
-                        names=["key", "class", "component", "size", "sketch"])
-
-    rows = members.select("class", "component", "text").mapInArrow(emit, "key long, class string, component string, size long, sketch binary")
-    rows = written(rows, "jaccard-members")
-    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    dealt = rows.join(mixed, "key").repartition("key").sortWithinPartitions("key", "component", "class")
-
-    def near(held: dict) -> Iterator[tuple[str, str]]:
-        names, parts = np.array(held["class"]), np.array(held["component"])
-        sizes, bits = np.array(held["size"]), np.frombuffer(b"".join(held["sketch"]), dtype=U64).reshape(-1, FOLD_WORDS)
+            packed = batch.column(2).to_pylist()
+            rows = np.repeat(np.arange(len(packed)), [len(x) // 8 for x in packed])
+            keys = np.frombuffer(b"".join(packed), dtype=np.int64)
+            for at in range(0, len(rows), 1 << 16):
+                picked = pa.array(rows[at : at + (1 << 16)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[at : at + (1 << 16)]), batch.column(0).take(picked), batch.column(1).take(picked)], names=["key", "class", "part"])
+
+    narrow = members.select("class", F.xxhash64("root").alias("part"), "keys").mapInArrow(emit, "key long, class string, part long")
+    narrow = written(narrow, "jaccard-members")
+    mixed = narrow.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
+    mixed = mixed.where("low <> high and n > 2")  # the two members of a smaller bucket have met already
+    cells = F.ceil(F.col("n") / CELL).cast("int")
+    rows = narrow.join(mixed.select("key", cells.alias("cells")), "key").select("key", "class", "cells")
+    own = F.pmod(F.xxhash64("class"), F.col("cells")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "class")
+    dealt = rows.join(members.select("class", "root", "size", "sketch"), "class").repartition("key", "low", "high")
+    dealt = dealt.sortWithinPartitions("key", "low", "high", "root", "class")
+
+    def near(held: dict) -> set[tuple[str, str]]:
+        _, part = np.unique(np.array(held["root"]), return_inverse=True)
+        if part.max() == 0:
+            return set()
+        names, sizes = held["class"], np.array(held["size"])
+        bits, joining = np.array(held["sketch"], dtype=np.int64).view(U64), []
         for i in range(0, len(names), CHUNK):
             for j in range(i, len(names), CHUNK):
-                apart = np.zeros((len(names[i : i + CHUNK]), len(names[j : j + CHUNK])), dtype=np.int64)
+                u, v = slice(i, i + CHUNK), slice(j, j + CHUNK)
+                apart = np.zeros((len(names[u]), len(names[v])), dtype=np.int64)
                 for w in range(FOLD_WORDS):
-                    apart += np.bitwise_count(bits[i : i + CHUNK, None, w] ^ bits[None, j : j + CHUNK, w])
-                x, y = sizes[i : i + CHUNK, None], sizes[None, j : j + CHUNK]
-                fits = (apart <= t.differ(x, y)) & (t.den * np.minimum(x, y) >= t.num * np.maximum(x, y))
-                fits &= parts[i : i + CHUNK, None] != parts[None, j : j + CHUNK]
-                for u, v in zip(*np.nonzero(fits), strict=True):
-                    a, b = names[i + u], names[j + v]
-                    if a < b or i != j:
-                        yield (a, b) if a < b else (b, a)
+                    apart += np.bitwise_count(bits[u, None, w] ^ bits[None, v, w])
+                x, y = sizes[u, None], sizes[None, v]
+                fits = (apart <= t.differ(x, y)) & (t.den * np.minimum(x, y) >= t.num * np.maximum(x, y)) & (part[u, None] != part[None, v])
+                k, m = np.nonzero(fits)
+                joining += zip(apart[k, m].tolist(), (k + i).tolist(), (m + j).tolist(), strict=True)
+                if not every:  # keeps the list shorter than the members of two chunks
+                    kept = set(_forest(joining, part))
+                    joining = [p for p in joining if p[1:] in kept]
+        return {(min(names[i], names[j]), max(names[i], names[j])) for _, i, j in joining}
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        seen: set = set()
+        columns = ("class", "root", "size", "sketch")
+        key, held, seen = None, {c: [] for c in columns}, set()
 
         def flush():
-            pairs = set(near(held)) - seen if held and len(set(held["component"])) > 1 else set()
-            if len(seen) > 500_000:
-                seen.clear()
-            seen.update(pairs)
+            nonlocal seen
+            pairs = near(held) - seen if held["class"] else set()
+            seen = (seen if len(seen) < 500_000 else set()) | pairs
             return pa.RecordBatch.from_arrays([pa.array([str(p[k]) for p in pairs], pa.string()) for k in (0, 1)], names=["a", "b"])
 
-        key = None
         for batch in batches:
-            for k, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for *k, name, root, size, bits in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if k != key:
                     yield flush()
-                    key, held = k, {c: [] for c in ("class", "component", "size", "sketch")}
-                for c, x in zip(("class", "component", "size", "sketch"), row, strict=True):
+                    key, held = k, {c: [] for c in columns}
+                for c, x in zip(columns, (name, root, size, bits), strict=True):
                     held[c].append(x)
         yield flush()
 
-    return dealt.select("key", "class", "component", "size", "sketch").mapInArrow(compare, "a string, b string").distinct()
+    return dealt.select("key", "low", "high", "class", "root", "size", "sketch").mapInArrow(compare, "a string, b string").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -319,34 +383,71 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     sequence is one shingle. Repeated rows each keep a row. text_key is xxhash64 of the text, for joins back to it;
     component names the component, null without shingles.
     """
-    t = Threshold(num, den)
+    t, spark = Threshold(num, den), docs.sparkSession
     spread = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
     features = written(_features(spread, n, t), "jaccard-features")
-    keyed = features.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, _class()).alias("class"))
     pairs = written(_candidates(features), "jaccard-pairs")
+    tidied(spark)
+    keyed = features.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, _class()).alias("class"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    shown = keyed.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    shown = written(shown.join(wanted, "class").select("class", "first.doc_id", "first.text_key"), "jaccard-shown").alias("s")
-    d = spread.alias("d")
-    same = (F.col("d.text_key") == F.col("s.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
-    texts = d.join(small_enough(shown, BROADCAST_ROWS), same).select("s.class", "d.text")
-    texts = written(texts.dropDuplicates(["class"]), "jaccard-texts")
-    checked = written(_verified(pairs, texts, n, t), "jaccard-checked")
+    first = F.min(F.struct("doc_id", "text_key", F.col("n_shingles").alias("size"), "sketch")).alias("first")
+    nodes = features.where("n_shingles > 0").withColumn("class", _class()).join(wanted, "class").groupBy("class").agg(first)
+    nodes = written(nodes.select("class", "first.*"), "jaccard-nodes")
+
+    def texts_of(checked: DataFrame) -> DataFrame:
+        classes = checked.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        named = written(nodes.join(classes, "class").select("class", "doc_id", "text_key"), "jaccard-named")
+        d, s = spread.alias("d"), small_enough(named, BROADCAST_ROWS).alias("s")
+        same = (F.col("d.text_key") == F.col("s.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
+        return written(d.join(s, same).select("s.class", "d.text"), "jaccard-texts")
+
+    near = _sides(pairs, nodes, {"size": "size", "sketch": "sketch"}).where(_sketches_near(t, "a", "b")).select("a", "b", "shared")
+    near = written(near, "jaccard-near")
+    texts = texts_of(near)
+    best = near.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select("best.a", "b")
+    checked = written(_verified(best, texts, n, t), "jaccard-checked")
+    tidied(spark)
     roots = written(components(checked.where("linked")), "jaccard-roots")
-    # buckets that still hold several components
-    split = checked.where("not linked").select("a", "b")
-    for side in ("a", "b"):
-        names = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-        split = split.join(names, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-    open_roots = split.where("root_a <> root_b").select(F.explode(F.array("root_a", "root_b")).alias("component")).distinct()
-    members = texts.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("root", "class"))
-    members = written(members.join(open_roots, "component", "left_semi").select("class", "component", "text"), "jaccard-open")
-    more = written(_verified(_across(members, n, t), texts, n, t), "jaccard-rechecked").where("linked")
-    if more.limit(1).count():
+    rest = _apart(near.select("a", "b").join(checked, ["a", "b"], "left_anti"), roots).select("a", "b")
+    checked = written(_verified(rest, texts, n, t), "jaccard-checked")
+    discarded(texts)
+
+    def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
         tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = written(components(tree.unionByName(more.select("a", "b"))), "jaccard-roots")
+        return written(components(tree.unionByName(links.select("a", "b"))), "jaccard-roots")
+
+    if checked.where("linked").limit(1).count():
+        roots = joined(roots, checked.where("linked"))
+    tidied(spark)
+    # buckets that still hold several components
+    opened = _apart(pairs.select("a", "b"), roots).select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
+    members = nodes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    members = written(members.join(opened, "root", "left_semi"), "jaccard-open")
+    m, f = small_enough(members, BROADCAST_ROWS).alias("m"), features.where("n_shingles > 0").alias("f")
+    same = (F.col("m.text_key") == F.col("f.text_key")) & F.col("m.doc_id").eqNullSafe(F.col("f.doc_id"))
+    members = f.join(m, same).select("m.class", "m.root", "m.size", "m.sketch", "f.keys").dropDuplicates(["class"])
+    members = written(members, "jaccard-members")
+    failed = None
+    for every in (False, True):
+        across = _across(members, t, every)
+        if every:  # what the nearest pairs have not joined
+            across = across.join(failed, ["a", "b"], "left_anti")
+        across = written(across, "jaccard-across")
+        tidied(spark)
+        if not across.limit(1).count():
+            break
+        checked = written(_verified(across, texts_of(across), n, t), "jaccard-checked")
+        roots = joined(roots, checked.where("linked"))
+        failed = checked.where("not linked")
+        if not failed.limit(1).count():
+            break
+        now = roots.withColumnRenamed("node", "class")
+        members = members.drop("root").join(now, "class", "left").withColumn("root", F.coalesce("root", "class"))
+        members = written(members, "jaccard-members")
     rooted = keyed.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     rooted = written(rooted, "jaccard-rooted")
+    discarded(features)
+    tidied(spark)
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select(
         "doc_id", "text_key", "n_shingles", F.col("root").alias("component"), F.coalesce("least", "doc_id").alias("component_id"))

@@ -7,6 +7,7 @@ the run. The folder is the session's ``spark.checkpoint.dir``; only a local sess
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -38,6 +39,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(*tables: DataFrame) -> None:
+    """Removes written tables that no later step reads."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidied(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished steps now rather than at the driver's next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_enough(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is. ``df`` should be a written table."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
