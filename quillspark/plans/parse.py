@@ -54,6 +54,15 @@ def _once(name: str, build: Callable[[], Column]) -> Column:
     return _built[key]
 
 
+def _held(value: Column) -> Column:
+    """``value``, into which the optimiser substitutes nothing from above.
+
+    A filter on a record (also the one that ``explode`` implies) would be pushed through all steps of the plan, and its copy of
+    their expressions doubles at each: planning never ends. Filters do not pass columns that count as nondeterministic.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def _with_inputs(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in df.columns})
 
@@ -91,6 +100,7 @@ def parse_documents(
     Inputs, all optional: content (bytes), text (its text layer), qr_payload, ocr_text, fields, container_text, metadata, hint_type,
     ocr_mode, filename, index. ``ocr_vendor`` names the OCR behind ``ocr_text``; without a name OCR counts as not configured.
     ``text_layer``, ``qr_reader`` and ``ocr`` fill missing texts from the bytes of only those rows that reach them.
+    Filters on the result are not pushed below the parsing: filter documents by their own columns before.
     """
     has_bytes = "content" in df.columns
     if has_bytes:
@@ -148,7 +158,7 @@ def parse_documents(
               .otherwise(_error("parse_failed", "layout")))
         .when(F.col("__via") == "ocr", F.when(F.col("__read").isNull(), _error("parse_failed", "short")).otherwise(_error("parse_failed", "layout")))
         .otherwise(_error("rule_unhandled", "unread", "pdf-fapiao", True)))
-    df = _invoice_columns(df.withColumn("__error", F.coalesce("__early", late)))
+    df = _invoice_columns(df.withColumn("__error", _held(F.coalesce("__early", late))))
     read = F.col("__read")
     records = {
         "__invoice": (F.col("layout").isin("general", "special"), _invoice_record), "__rail": (F.col("layout") == "rail", lambda: rail(read)),
@@ -160,7 +170,7 @@ def parse_documents(
     by = F.when(F.col("__via") == "ocr", "ocr").when(F.col("__via") == "qr", "qrcode").otherwise("text_layer")
     vendor = F.when(F.col("__via") == "ocr", F.lit(ocr_vendor))
     ok = F.col("__error").isNull()
-    df = df.withColumn("data", F.when(ok, _once(f"data {ocr_vendor}", lambda: normalized(F.col("__raw"), form, by, vendor))))
+    df = df.withColumn("data", _held(F.when(ok, _once(f"data {ocr_vendor}", lambda: normalized(F.col("__raw"), form, by, vendor)))))
     code = F.col("__error.code")
     engine = F.struct(
         F.lit("attempted").alias("rule_engine"), F.when(mode.isin(*OCR_MODES), mode).otherwise("auto").alias("ocr_mode"),
