@@ -127,7 +127,7 @@ def parse_air_fields(spark, sf_dir):
 def parse_metadata(spark, sf_dir):
     """PDFs whose text cannot be read but whose metadata can."""
     i = synth.invoices(spark, sf_dir)
-    pairs = {"InvoiceNumber": synth.number(), "IssueTime": synth.day_text(), "TotalAmWithoutTax": synth.cents_text(F.col("net")), "TotalTaxAm": synth.cents_text(F.col("tax")),
+    pairs = {"InvoiceNumber": synth.number(), "IssueTime": F.date_format(F.add_months("day", 360), "yyyy年MM月dd日"), "TotalAmWithoutTax": synth.cents_text(F.col("net")), "TotalTaxAm": synth.cents_text(F.col("tax")),
              "TotalTax-includedAmount": synth.cents_text(F.col("net") + F.col("tax")), "BuyerName": synth.buyer(), "BuyerIdNum": synth.buyer_id(),
              "SellerName": synth.seller(), "SellerIdNum": synth.seller_id()}
     docs = i.select("k", F.lit("\x01\x02\x03").alias("text"), F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]).alias("metadata"))
@@ -291,7 +291,7 @@ SQL = {
       '电子客票号:' || lpad(CAST(k AS VARCHAR), 13, '7') || '；签注:不得签转' AS remark, issued || ' 08:15:00' AS depart_time, '0.09' AS tax_rate FROM b""",
     "parse_qr": BASE + f"""SELECT k, number AS invoice_number, '0330' || lpad(CAST(k % 100000000 AS VARCHAR), 8, '0') AS invoice_code, issued AS issue_date,
       {_cents('net')} AS amount_with_tax, 'C' || lpad(CAST(cust AS VARCHAR), 19, '0') AS checksum, 'qrcode' AS extracted_by FROM b""",
-    "parse_metadata": _field_sql(n="0"),
+    "parse_metadata": _field_sql(n="0").replace("issued AS issue_date", "strftime(day + INTERVAL 30 YEAR, '%Y-%m-%d') AS issue_date"),
     "money_normalize": """WITH m AS (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) * 10 + l_partkey % 10 AS m FROM lineitem),
       c AS (SELECT *, m // 10 + CASE WHEN m % 10 > 5 OR (m % 10 = 5 AND (m // 10) % 2 = 1) THEN 1 ELSE 0 END AS c FROM m)
       SELECT l_orderkey, l_linenumber, '¥ ' || format('{:,}', m // 1000) || '.' || lpad(CAST(m % 1000 AS VARCHAR), 3, '0') AS raw,
