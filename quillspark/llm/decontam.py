@@ -1,19 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidate passages in one pass, Smith-Waterman alignment scores them.
 
-Words are runs of letters and digits, A-Z lower-cased. Each ``SEED``-word run of a test item is a seed. One pass over the
-documents cuts a passage around each cluster of seed hits, as far to each side as the longest item reaches. A seed counts as
-rare when it occurs in at most ``RARE`` passages, or in at most ten times as many as a quarter of its item's seeds: a common
-phrase inside an item drops out, while an item copied into a third of all documents keeps its seeds. Passages and items that
-share a rare seed are aligned by words: 2 for a match, -1 for a mismatch or a gap. A passage holds an item when the best
-local score reaches ``SHARE`` of the score of an exact copy.
+Words are runs of letters and digits, A-Z lower-cased. Each ``SEED``-word run of a test item is a seed. The items are sent to
+the tasks, which look each run of a document up. Around each cluster of an item's hits a passage is cut, as far to each side as
+an alignment can reach, and aligned with the item by words: 2 for a match, -1 for a mismatch or a gap. A passage holds an item
+when the best local score reaches ``SHARE`` of the score of an exact copy. No seed is dropped, however common, and nothing is
+dealt out by seed: a passage in a third of all documents is aligned where these stand, equal passages once a task.
 
-The seeds are sent to the tasks in slices of at most ``SEED_SLICE``; a larger benchmark takes a pass for each slice.
+The seeds are sent in slices of about ``SEED_SLICE``; a larger benchmark takes a pass for each slice.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,13 @@ from quillspark.llm.kernels import IS_ALNUM, segments, windows, word_hashes
 from quillspark.llm.storage import small_enough, written
 
 SEED = 4
-RARE = 1000
 SHARE = 0.5
+FOUND = "doc_id long, text_key long, item_id long, similarity double, start long, end long"
 SEED_SLICE = 2_000_000
 BROADCAST_ROWS = 200_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _BATCH_CELLS = 1 << 16
+_KEPT = 50_000  # alignments that a task remembers
 
 
 def align(passages: list[np.ndarray], items: list[np.ndarray]) -> list[tuple[int, int, int]]:
@@ -79,83 +81,101 @@ def _item_table(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, words binary, n_words int, seeds array<long>")
 
 
-def _passages(docs: DataFrame, seeds: np.ndarray, reach: int) -> DataFrame:
-    """(doc_id, text_key, first, words, seeds): the passages around seed hits. first: the passage's first word in the text."""
-    bits = max(16, min(24, int(len(seeds)).bit_length() + 5))
-    mask = np.uint64((1 << bits) - 1)
-    maybe = np.zeros(1 << bits, dtype=bool)
-    maybe[seeds & mask] = True
-    sent = docs.sparkSession.sparkContext.broadcast((np.packbits(maybe), seeds))
+@dataclass
+class Book:
+    """Items as the tasks look them up: ``seeds`` sorted, the items of seed i at ``owners[first[i]:first[i + 1]]``."""
+
+    ids: list[int | None]
+    words: list[np.ndarray]
+    span: np.ndarray  # words that an alignment which reaches the share covers at most
+    seeds: np.ndarray
+    first: np.ndarray
+    owners: np.ndarray
+
+
+def book_of(ids: list[int], words: list[bytes], share: float) -> Book:
+    words = [np.frombuffer(w, dtype=np.uint64) for w in words]
+    per_item = [np.unique(windows(w, SEED)) for w in words]
+    flat, owners = np.concatenate(per_item), np.repeat(np.arange(len(words)), [len(x) for x in per_item])
+    order = np.argsort(flat, kind="stable")
+    seeds, first = np.unique(flat[order], return_index=True)
+    span = np.array([math.ceil((3 - 2 * share) * len(w)) for w in words], dtype=np.int64)
+    return Book(ids, words, span, seeds, np.append(first, len(flat)), owners[order])
+
+
+def seed_filter(seeds: np.ndarray) -> np.ndarray:
+    """A table that the low bits of a seed point to; false: not a seed."""
+    table = np.zeros(1 << max(16, min(24, int(len(seeds)).bit_length() + 5)), dtype=bool)
+    table[seeds & np.uint64(len(table) - 1)] = True
+    return table
+
+
+def candidates(h: np.ndarray, bounds: np.ndarray, book: Book, table: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, low, high): the words of the rows, cut by ``bounds``, that are to be aligned with an item."""
+    grams = windows(h, SEED)
+    at = np.flatnonzero(table[grams & np.uint64(len(table) - 1)])
+    place = np.minimum(np.searchsorted(book.seeds, grams[at]), len(book.seeds) - 1)
+    doc = np.searchsorted(bounds, at, side="right") - 1
+    real = (book.seeds[place] == grams[at]) & (at + SEED <= bounds[doc + 1])
+    at, place, doc = at[real], place[real], doc[real]
+    n = book.first[place + 1] - book.first[place]
+    item = book.owners[np.repeat(book.first[place] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    at, doc = np.repeat(at, n), np.repeat(doc, n)
+    order = np.lexsort((at, item, doc))
+    at, item, doc = at[order], item[order], doc[order]
+    low, high = np.maximum(at + SEED - book.span[item], bounds[doc]), np.minimum(at + book.span[item], bounds[doc + 1])
+    if len(at):
+        new = np.append(True, (np.diff(item) != 0) | (np.diff(doc) != 0) | (low[1:] > high[:-1]))
+        begins = np.flatnonzero(new)
+        ends = np.append(begins[1:], len(at)) - 1
+        yield from zip(doc[begins].tolist(), item[begins].tolist(), low[begins].tolist(), high[ends].tolist(), strict=True)
+
+
+def align_all(passages: list[np.ndarray], items: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """``align`` in batches of like sizes."""
+    order, at, results = np.lexsort(([len(x) for x in items], [len(x) for x in passages])).tolist(), 0, {}
+    while at < len(order):
+        n = max(1, min(256, _BATCH_CELLS // max(1, len(passages[order[min(len(order) - 1, at + 255)]]))))
+        part = order[at : at + n]
+        results |= dict(zip(part, align([passages[i] for i in part], [items[i] for i in part]), strict=True))
+        at += n
+    return [results[i] for i in range(len(order))]
+
+
+def _matches(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
+    rows = items.select("item_id", "words").collect()
+    if not rows:
+        return docs.sparkSession.createDataFrame([], FOUND)
+    book = book_of([r["item_id"] for r in rows], [bytes(r["words"]) for r in rows], share)
+    sent = docs.sparkSession.sparkContext.broadcast(book)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, known = sent.value
-        table = np.unpackbits(packed).view(bool)
+        book, known = sent.value, {}
+        table = seed_filter(book.seeds)
         for batch in batches:
-            rows, firsts, words, found = [], [], [], []
             for row, data, offsets in segments(batch.column(2)):
                 h, bounds = word_hashes(data, offsets, IS_ALNUM)
-                grams = windows(h, SEED)
-                at = np.flatnonzero(table[grams & mask])
-                place = np.minimum(np.searchsorted(known, grams[at]), len(known) - 1)
-                at = at[known[place] == grams[at]]
-                doc = np.searchsorted(bounds, at, side="right") - 1
-                inside = at + SEED <= bounds[doc + 1]
-                at, doc = at[inside], doc[inside]
-                if not len(at):
+                found, fresh = [], {}
+                for doc, item, low, high in candidates(h, bounds, book, table):
+                    key = (item, blake2b(h[low:high].tobytes(), digest_size=16).digest())
+                    found.append((row + doc, item, low - int(bounds[doc]), key))
+                    if key not in known:
+                        fresh[key] = h[low:high]
+                if not found:
                     continue
-                new = np.append(True, (np.diff(at) > reach) | (np.diff(doc) > 0))
-                for hits, d in zip(np.split(at, np.flatnonzero(new)[1:]), doc[new], strict=True):
-                    low, high = max(int(bounds[d]), int(hits[0]) - reach), min(int(bounds[d + 1]), int(hits[-1]) + SEED + reach)
-                    rows.append(row + int(d))
-                    firsts.append(low - int(bounds[d]))
-                    words.append(h[low:high].tobytes())
-                    found.append(np.unique(grams[hits]).view(np.int64))
-            if rows:
-                picked = batch.select([0, 1]).take(pa.array(rows))
+                known |= dict(zip(fresh, align_all(list(fresh.values()), [book.words[i] for i, _ in fresh]), strict=True)) if fresh else {}
+                held = [(r, i, first, known[key]) for r, i, first, key in found if known[key][0] / (MATCH * len(book.words[i])) >= share]
+                if len(known) > _KEPT:
+                    known = {}
+                picked = batch.select([0, 1]).take(pa.array([r for r, *_ in held], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*picked.columns, pa.array(firsts, pa.int64()), pa.array(words, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                    names=["doc_id", "text_key", "first", "words", "seeds"])
+                    [*picked.columns, pa.array([book.ids[i] for _, i, *_ in held], pa.int64()),
+                     pa.array([score / (MATCH * len(book.words[i])) for _, i, _, (score, *_) in held], pa.float64()),
+                     pa.array([first + a for *_, first, (_, a, _) in held], pa.int64()), pa.array([first + b for *_, first, (_, _, b) in held], pa.int64())],
+                    names=["doc_id", "text_key", "item_id", "similarity", "start", "end"])
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    return keyed.mapInArrow(run, "doc_id long, text_key long, first long, words binary, seeds array<long>")
-
-
-def _matches(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
-    seeds = items.select(F.explode("seeds").alias("seed")).distinct().toPandas()["seed"].to_numpy(dtype=np.int64)
-    seeds = np.sort(seeds.view(np.uint64))
-    reach = items.agg(F.max("n_words")).first()[0]
-    passages = written(_passages(docs, seeds, reach).withColumn("passage", F.monotonically_increasing_id()), "decontam-passages")
-    hits = passages.select("passage", F.explode("seeds").alias("seed"))
-    book = items.select("item_id", F.explode("seeds").alias("seed"))
-    seen = book.join(hits.groupBy("seed").agg(F.count("*").alias("seen")), "seed", "left").fillna(0, ["seen"])
-    limits = seen.groupBy("item_id").agg(F.percentile_approx("seen", 0.25).alias("quarter"))
-    rare = seen.join(limits, "item_id").where(F.col("seen") <= F.greatest(F.lit(RARE), F.col("quarter") * 10)).select("item_id", "seed")
-    rare = small_enough(written(rare, "decontam-seeds"), BROADCAST_ROWS)
-    pairs = hits.join(rare, "seed").select("passage", "item_id").distinct()
-    sides = items.select("item_id", F.col("words").alias("item_words"), "n_words")
-    joined = pairs.join(small_enough(sides, BROADCAST_ROWS), "item_id").join(passages.drop("seeds"), "passage")
-    columns = joined.select("doc_id", "text_key", "first", "item_id", "n_words", "words", "item_words")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(5).to_pylist()]
-            q = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(6).to_pylist()]
-            order, at, results = np.lexsort(([len(x) for x in q], [len(x) for x in p])).tolist(), 0, {}
-            while at < len(order):
-                n = max(1, min(256, _BATCH_CELLS // max(1, len(p[order[min(len(order) - 1, at + 255)]]))))
-                part = order[at : at + n]
-                results |= dict(zip(part, align([p[i] for i in part], [q[i] for i in part]), strict=True))
-                at += n
-            scores = [results[i] for i in range(len(order))]
-            fixed = batch.select([0, 1, 2, 3, 4]).columns
-            yield pa.RecordBatch.from_arrays(
-                [*fixed, *(pa.array(c, pa.int64()) for c in (zip(*scores, strict=True) if scores else ([], [], [])))],
-                names=["doc_id", "text_key", "first", "item_id", "n_words", "score", "start", "end"])
-
-    aligned = columns.mapInArrow(run, "doc_id long, text_key long, first long, item_id long, n_words int, score long, start long, end long")
-    similarity = F.col("score") / (MATCH * F.col("n_words"))
-    return aligned.select("doc_id", "text_key", "item_id", similarity.alias("similarity"), (F.col("first") + F.col("start")).alias("start"),
-                          (F.col("first") + F.col("end")).alias("end")).where(F.col("similarity") >= share)
+    return keyed.mapInArrow(run, FOUND)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
@@ -167,7 +187,7 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Dat
     """
     table = written(_item_table(items).where(F.col("n_words") >= SEED), "decontam-items")
     total = table.agg(F.sum(F.size("seeds"))).first()[0] or 0
-    none = docs.sparkSession.createDataFrame([], "doc_id long, text_key long, item_id long, similarity double, start long, end long")
+    none = docs.sparkSession.createDataFrame([], FOUND)
     if not total:
         return none
     slices = math.ceil(total / SEED_SLICE)

@@ -264,6 +264,16 @@ def test_decontamination(spark, empty):
         assert decontam.contaminated(a, b).count() == 0
 
 
+def test_decontamination_hot_passage(spark):
+    item = [f"w{i}" for i in range(20)]
+    hot = " ".join("zz" if i in (3, 7, 11, 16) else w for i, w in enumerate(item))  # few of its seeds stand, all of these in each document
+    rows = [(i, f"{prose(6)} {hot} {prose(6)}" if i % 2 else prose(20)) for i in range(2400)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = decontam.contaminated(df, bench)
+    assert sorted((r["doc_id"], r["similarity"], r["start"], r["end"]) for r in found.collect()) == [(i, 0.7, 6, 26) for i in range(1, 2400, 2)]
+    assert decontam.without(df, found).count() == 1200
+
+
 def test_seed_slices(spark, monkeypatch):
     monkeypatch.setattr(decontam, "SEED_SLICE", 40)
     items = [(i, prose(30)) for i in range(8)]
