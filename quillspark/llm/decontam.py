@@ -1,12 +1,17 @@
-"""Benchmark decontamination: n-gram seeds find candidate passages in one pass, Smith-Waterman alignment scores them.
-
-Words are runs of letters and digits, A-Z lower-cased. Each ``SEED``-word run of a test item is a seed. The items are sent to
-the tasks, which look each run of a document up. Around each cluster of an item's hits a passage is cut, as far to each side as
-an alignment can reach, and aligned with the item by words: 2 for a match, -1 for a mismatch or a gap. A passage holds an item
-when the best local score reaches ``SHARE`` of the score of an exact copy. No seed is dropped, however common, and nothing is
-dealt out by seed: a passage in a third of all documents is aligned where these stand, equal passages once a task.
-
-The seeds are sent in slices of about ``SEED_SLICE``; a larger benchmark takes a pass for each slice.
+"""Benchmark decontamination: word pairs find candidate passages in one pass, Smith-Waterman alignment scores them.
+
+Words are runs of letters and digits, A-Z lower-cased. A passage holds an item when the best local alignment by words (2 for a
+match, -1 for a mismatch or a gap) reaches ``SHARE`` of the score of an exact copy. The search loses no such passage: with m
+of an item's n words matched, at most 2 (m - share n) edits stand between them, so that at least t = ceil(share n) - 1 of the
+m - 1 steps from one matched word to the next have one edit or none. Such a step is a pair of words, adjacent or with one word
+between, of both sides. So of any n - 1 - t + k places of the item at least k have their pairs in the passage; k is about half
+of t, and the places are those whose pairs fewest items share. Where k such pairs stand within the words that an alignment can
+cover, the passage is aligned. Items under ``WHOLE`` words, of which a word or two would reach the share, match as whole
+sequences. At four words the share is two words in a row; set ``share`` higher for benchmarks of such items.
+
+The items are sent to the tasks. No pair is dropped, however common, and nothing is dealt out by pair: a passage in a third of
+all documents is aligned where these stand, equal passages once a task. Items are sent in slices of about ``SEED_SLICE`` pairs;
+a larger benchmark takes a pass for each slice.
 """
 
 from __future__ import annotations
@@ -20,16 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.kernels import IS_ALNUM, segments, windows, word_hashes
+from quillspark.llm.kernels import IS_ALNUM, mix, randoms, segments, windows, word_hashes
 from quillspark.llm.storage import small_enough, written
 
-SEED = 4
+WHOLE = 4
 SHARE = 0.5
 FOUND = "doc_id long, text_key long, item_id long, similarity double, start long, end long"
 SEED_SLICE = 2_000_000
 BROADCAST_ROWS = 200_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _BATCH_CELLS = 1 << 16
+_AT_ONCE = 1 << 22  # hits of pairs and items that are sorted at once
 _KEPT = 50_000  # alignments that a task remembers
 
 
@@ -63,22 +69,24 @@ def align(passages: list[np.ndarray], items: list[np.ndarray]) -> list[tuple[int
     return [(int(b >> 32), int(b & 0xFFFFFFFF), int(e)) for b, e in zip(best, best_end, strict=True)]
 
 
+def spaced(h: np.ndarray) -> np.ndarray:
+    """The hash of each pair of words with one between, as ``windows`` has it for adjacent ones."""
+    first, second = randoms(77, 2)
+    return mix(h[:-2] * first + h[2:] * second)
+
+
 def _item_table(items: DataFrame) -> DataFrame:
-    """(item_id, words, n_words, seeds): hashes of an item's words and of its seeds. Items shorter than a seed have none."""
+    """(item_id, words, n_words): hashes of an item's words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, seeds = [], []
+            words = []
             for _, data, offsets in segments(batch.column(1)):
                 h, bounds = word_hashes(data, offsets, IS_ALNUM)
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    words.append(h[a:b].tobytes())
-                    seeds.append(np.unique(windows(h[a:b], SEED)).view(np.int64))
+                words += [h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             sizes = [len(w) // 8 for w in words]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(words, pa.binary()), pa.array(sizes, pa.int32()), pa.array(seeds, pa.list_(pa.int64()))],
-                names=["item_id", "words", "n_words", "seeds"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(sizes, pa.int32())], names=["item_id", "words", "n_words"])
 
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, words binary, n_words int, seeds array<long>")
+    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, words binary, n_words int")
 
 
 @dataclass
@@ -87,20 +95,41 @@ class Book:
 
     ids: list[int | None]
     words: list[np.ndarray]
-    span: np.ndarray  # words that an alignment which reaches the share covers at most
+    least: np.ndarray  # share of an exact copy's score that counts
+    span: np.ndarray  # words that an alignment which reaches it covers at most
+    need: np.ndarray  # seeds that stand in it at least
+    runs: list[int]  # lengths of the runs that are seeds besides pairs
     seeds: np.ndarray
     first: np.ndarray
     owners: np.ndarray
 
 
-def book_of(ids: list[int], words: list[bytes], share: float) -> Book:
+def book_of(ids: list[int | None], words: list[bytes], share: float) -> Book:
     words = [np.frombuffer(w, dtype=np.uint64) for w in words]
-    per_item = [np.unique(windows(w, SEED)) for w in words]
+    size = np.array([len(w) for w in words])
+    whole = size < WHOLE
+    steps = np.ceil(share * size - 1e-9).astype(np.int64) - 1
+    need = np.where(whole, 1, np.maximum(1, steps // 2))
+    span = np.where(whole, size, np.ceil((3 - 2 * share) * size + 1e-9).astype(np.int64))
+    pairs = [(windows(w, 2), spaced(w)) for w in words]
+    shared, count = np.unique(np.concatenate([np.unique(np.concatenate(x)) for x in pairs]), return_counts=True)
+    per_item = []
+    for w, (near, far), t, k in zip(words, pairs, steps.tolist(), need.tolist(), strict=True):
+        if len(w) < WHOLE:
+            per_item.append(windows(w, len(w)))
+        elif t < 1:
+            per_item.append(np.unique(windows(w, 1)))
+        else:
+            cost = count[np.searchsorted(shared, near)]
+            cost[: len(far)] += count[np.searchsorted(shared, far)]
+            places = np.argsort(cost, kind="stable")[: len(w) - 1 - t + k]
+            per_item.append(np.unique(np.append(near[places], far[places[places < len(far)]])))
     flat, owners = np.concatenate(per_item), np.repeat(np.arange(len(words)), [len(x) for x in per_item])
     order = np.argsort(flat, kind="stable")
     seeds, first = np.unique(flat[order], return_index=True)
-    span = np.array([math.ceil((3 - 2 * share) * len(w)) for w in words], dtype=np.int64)
-    return Book(ids, words, span, seeds, np.append(first, len(flat)), owners[order])
+    single = (size == 1) | (~whole & (steps < 1))
+    runs = [n for n, used in ((1, single), (3, whole & (size == 3))) if used.any()]
+    return Book(ids, words, np.where(whole, 1.0, share), span, need, runs, seeds, np.append(first, len(flat)), owners[order])
 
 
 def seed_filter(seeds: np.ndarray) -> np.ndarray:
@@ -112,23 +141,33 @@ def seed_filter(seeds: np.ndarray) -> np.ndarray:
 
 def candidates(h: np.ndarray, bounds: np.ndarray, book: Book, table: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(row, item, low, high): the words of the rows, cut by ``bounds``, that are to be aligned with an item."""
-    grams = windows(h, SEED)
-    at = np.flatnonzero(table[grams & np.uint64(len(table) - 1)])
-    place = np.minimum(np.searchsorted(book.seeds, grams[at]), len(book.seeds) - 1)
-    doc = np.searchsorted(bounds, at, side="right") - 1
-    real = (book.seeds[place] == grams[at]) & (at + SEED <= bounds[doc + 1])
-    at, place, doc = at[real], place[real], doc[real]
-    n = book.first[place + 1] - book.first[place]
-    item = book.owners[np.repeat(book.first[place] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    at, doc = np.repeat(at, n), np.repeat(doc, n)
-    order = np.lexsort((at, item, doc))
-    at, item, doc = at[order], item[order], doc[order]
-    low, high = np.maximum(at + SEED - book.span[item], bounds[doc]), np.minimum(at + book.span[item], bounds[doc + 1])
-    if len(at):
-        new = np.append(True, (np.diff(item) != 0) | (np.diff(doc) != 0) | (low[1:] > high[:-1]))
-        begins = np.flatnonzero(new)
-        ends = np.append(begins[1:], len(at)) - 1
-        yield from zip(doc[begins].tolist(), item[begins].tolist(), low[begins].tolist(), high[ends].tolist(), strict=True)
+    ats, places = [], []
+    for length, grams in [(2, windows(h, 2)), (3, spaced(h)), *((n, windows(h, n)) for n in book.runs)]:
+        at = np.flatnonzero(table[grams & np.uint64(len(table) - 1)])
+        place = np.minimum(np.searchsorted(book.seeds, grams[at]), len(book.seeds) - 1)
+        real = (book.seeds[place] == grams[at]) & (at + length <= bounds[np.searchsorted(bounds, at, side="right")])
+        ats.append(at[real])
+        places.append(place[real])
+    order = np.argsort(np.concatenate(ats), kind="stable")
+    all_at, all_place = np.concatenate(ats)[order], np.concatenate(places)[order]
+    all_doc = np.searchsorted(bounds, all_at, side="right") - 1
+    part = np.cumsum(np.diff(book.first)[all_place]) // _AT_ONCE
+    part = part[np.searchsorted(all_doc, all_doc)]  # a document's hits stay together
+    for hits in np.split(np.arange(len(all_at)), np.flatnonzero(np.diff(part)) + 1):
+        first, n = book.first[all_place[hits]], np.diff(book.first)[all_place[hits]]
+        owner = book.owners[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        item, at = np.divmod(np.unique(owner * len(h) + np.repeat(all_at[hits], n)), max(1, len(h)))
+        doc = np.searchsorted(bounds, at, side="right") - 1
+        last = np.arange(len(at)) + book.need[item] - 1
+        end = np.minimum(last, len(at) - 1)
+        fits = np.flatnonzero((last == end) & (item[end] == item) & (doc[end] == doc) & (at[end] - at < book.span[item]))
+        item, doc, low, high = item[fits], doc[fits], at[end[fits]] + 1, at[fits]
+        low, high = np.maximum(low - book.span[item], bounds[doc]), np.minimum(high + book.span[item], bounds[doc + 1])
+        if len(fits):
+            new = np.append(True, (np.diff(item) != 0) | (np.diff(doc) != 0) | (low[1:] > high[:-1]))
+            begins = np.flatnonzero(new)
+            ends = np.append(begins[1:], len(fits)) - 1
+            yield from zip(doc[begins].tolist(), item[begins].tolist(), low[begins].tolist(), high[ends].tolist(), strict=True)
 
 
 def align_all(passages: list[np.ndarray], items: list[np.ndarray]) -> list[tuple[int, int, int]]:
@@ -164,7 +203,7 @@ def _matches(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
                 if not found:
                     continue
                 known |= dict(zip(fresh, align_all(list(fresh.values()), [book.words[i] for i, _ in fresh]), strict=True)) if fresh else {}
-                held = [(r, i, first, known[key]) for r, i, first, key in found if known[key][0] / (MATCH * len(book.words[i])) >= share]
+                held = [(r, i, first, known[key]) for r, i, first, key in found if known[key][0] / (MATCH * len(book.words[i])) >= book.least[i]]
                 if len(known) > _KEPT:
                     known = {}
                 picked = batch.select([0, 1]).take(pa.array([r for r, *_ in held], pa.int64()))
@@ -183,10 +222,10 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Dat
 
     docs: doc_id, text; items: item_id, text. start and end count words of the text. text_key (xxhash64 of the text) tells
     documents of one id apart; rows that agree in both give one row an item. Null and empty texts hold nothing; items under
-    ``SEED`` words take no part; repeated items match alike. An empty table on either side gives an empty result.
+    ``WHOLE`` words match as whole sequences, those without words not at all; repeated items match alike. An empty table on either side gives an empty result.
     """
-    table = written(_item_table(items).where(F.col("n_words") >= SEED), "decontam-items")
-    total = table.agg(F.sum(F.size("seeds"))).first()[0] or 0
+    table = written(_item_table(items).where("n_words > 0"), "decontam-items")
+    total = table.agg(F.sum(2 * F.col("n_words"))).first()[0] or 0
     none = docs.sparkSession.createDataFrame([], FOUND)
     if not total:
         return none

@@ -290,6 +290,31 @@ def brute_align(p, q):
     return h.max()
 
 
+def test_decontamination_reaches_share(spark):
+    def changed(w):
+        w = list(w)
+        for _ in range(RANDOM.randint(0, max(1, len(w) // 2))):
+            at, how = RANDOM.randrange(len(w)), RANDOM.choice("sid")
+            w[at : at + 1] = {"s": ["zz"], "i": [w[at], "zz"], "d": [] if len(w) > 1 else w}[how]
+        return w
+
+    items = [[f"i{i}w{k}" if k % 3 else f"c{(i + k) % 5}" for k in range(n)] for i, n in enumerate([1, 2, 3, 4, 5, 6, 8, 9, 12, 15, 15, 16, 20, 20, 27, 31] * 2)]
+    texts = [[f"x{j}"] * 3 + changed(items[j % 32]) + [f"c{j % 5}"] * 2 + changed(items[j * 7 % 32]) for j in range(600)]
+    spread = [w for k in range(15) for w in (items[9][k], "zz")]  # one edit after each word
+    texts += [["zz" if k in (3, 7, 11) else w for k, w in enumerate(items[9])], spread]
+    df = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    for share in (0.5, 0.8):
+        want = {}
+        for (j, p), (i, q) in itertools.product(enumerate(texts), enumerate(items)):
+            if len(set(p) & set(q)) >= min(len(set(q)), max(1, share * len(q) / 3)):  # no fewer words can reach the share here
+                score = brute_align(np.array(p), np.array(q)) / (2 * len(q))
+                if score >= (1 if len(q) < 4 else share):
+                    want[j, i] = score
+        got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(df, bench, share).collect()}
+        assert got == want and (share > 0.5 or {(600, 9), (601, 9)} <= set(want))
+
+
 def test_alignment():
     gen = np.random.default_rng(4)
     pairs = [(gen.integers(1, 6, gen.integers(1, 40), dtype=np.uint64), gen.integers(1, 6, gen.integers(1, 25), dtype=np.uint64)) for _ in range(60)]
