@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and random strings that a tokenizer's vocabulary packs badly.
 
-Prose and identifiers hold several characters a token; keys and passwords hold few. Runs of key characters with a low
-ratio count as spans of kind ``random``, unless they are known digests (hex of a digest's length, UUIDs), identifiers
-(words joined by separators or capitals), or overlap a span that a pattern found.
+Prose and identifiers hold several characters a token; keys and passwords hold few. All runs of key characters are counted,
+whatever they consist of; those without letters by their digits alone, as separators cut dates and numbers into many tokens.
+Runs with a low ratio count as spans of kind ``random``, unless they are known digests (hex of a digest's length, UUIDs),
+identifiers (words that the vocabulary packs well, joined by separators or capitals), or overlap a span that a pattern found.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 KINDS = ("assign", "access", "hex", "random")
-LEAST_RUN = 20  # characters of a run that the token test looks at
+LEAST_RUN = 16  # characters of a run that the token test looks at
 MOST_RATIO = 2.0  # characters a token below which a run is random
+WORD_RATIO = 3.0  # characters a token that the words of an identifier hold at least
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a run that is too short can't hold a longer one
@@ -45,13 +47,15 @@ def is_digest(run: str) -> bool:
     return bool(_UUID.fullmatch(run)) or (len(run) in DIGEST_LENGTHS and bool(_DIGEST.fullmatch(run)))
 
 
-def is_identifier(run: str) -> bool:
-    """Words of three letters on average or more, with short numbers between, joined by ``_ - / =`` or capitals."""
+def is_identifier(run: str, path: str) -> bool:
+    """Words of three letters on average or more that the vocabulary packs well in lower case, with short numbers between,
+    joined by ``_ - / =`` or capitals."""
     parts = [p for piece in re.split(r"[+/=_-]+", run) for p in _PART.findall(piece)]
     if sum(map(len, parts)) < len(re.sub(r"[+/=_-]", "", run)):
         return False
-    words = [p for p in parts if p.isalpha()]
-    return bool(words) and sum(map(len, words)) >= 3 * len(parts)
+    words = [p.lower() for p in parts if p.isalpha()]
+    size = sum(map(len, words))
+    return bool(words) and size >= 3 * len(parts) and size >= WORD_RATIO * sum(len(vocabulary(path).encode_ordinary(w)) for w in words)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -70,14 +74,13 @@ def random_spans(text: str, base: list[tuple[int, int, int]], path: str) -> list
     ends = sorted((s, e) for s, _, e in base)
     for m in _RUN.finditer(text):
         run = m[0]
-        if run.isalpha() or run.isdigit() or not re.search("[A-Za-z]", run) or not re.search("[0-9]", run):
-            continue
-        if is_digest(run) or is_identifier(run):
-            continue
         i = bisect_left(ends, (m.end(),))
         if any(e > m.start() for _, e in ends[max(0, i - 3) : i]):
             continue
-        if len(run) < MOST_RATIO * len(vocabulary(path).encode_ordinary(run)):
+        counted = run if re.search("[A-Za-z]", run) else re.sub("[^0-9]", "", run)
+        if len(counted) >= MOST_RATIO * len(vocabulary(path).encode_ordinary(counted)):
+            continue
+        if not is_digest(run) and not is_identifier(run, path):
             found.append((m.start(), 3, m.end()))
     return found
 

@@ -364,6 +364,20 @@ def test_random_strings():
     assert kinds("d41d8cd98f00b204e9800998ecf8427e 123e4567-e89b-12d3-a456-426614174000 my_long_variable_name_42 12345678901234567890 plainlowercasewordsinarow") == []
 
 
+def test_random_strings_of_all_classes():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rnd, low, up, digits = random.Random(8), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    least = {up + "234567": 0.98, low + digits: 0.94, up + digits: 0.94, low + up + digits: 0.98, low + up: 0.98, up: 0.94, low: 0.8}
+    for letters, share in least.items():
+        for size in (16, 20, 32):
+            keys = ["".join(rnd.choices(letters, k=size)) for _ in range(300)]
+            assert sum(secretscan.random_spans(f"key {k} end", [], path) == [(4, 3, 4 + size)] for k in keys) >= share * 300
+    plain = """getElementsByTagNameNS MAXIMUM_BUFFER_SIZE_BYTES XMLHttpRequestEventTarget internationalization 1990-01-01/2000-12-31
+        4111-1111-1111-1111 /usr/local/lib/python3/dist-packages ==================== 2024-01-02-release-notes 1-2-3-4-5-6-7-8-9-10"""
+    assert secretscan.random_spans(plain, [], path) == []
+    assert secretscan.random_spans("JBSWY3DPEHPK3PXPJBSWY3DPEHPK3PXP", [], path) == [(0, 3, 32)]
+
+
 def test_chat(spark, empty):
     ev = [("c", 1, "message", "1", "user", "hi <turn>"), ("c", 2, "message", "2", "assistant", "a"), ("c", 3, "delta", "2", None, "b\\"), ("c", 4, "edit", "1", None, "Hi"),
           ("c", 5, "regenerate", "2", None, None), ("c", 6, "delta", "2", None, "new"), ("c", 7, "delta", "2", None, " one </turn>\n"), ("c", 8, "message", "3", "user", None),
