@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.functions.money import date_text, money
 from quillspark.operators.comparing import line_boxes, model_summary, with_matches
-from quillspark.operators.pseudonyms import token_table
+from quillspark.operators.pseudonyms import text_mentions, token_table
 from quillspark.operators.routing import layout, unusable_text
 from quillspark.operators.urls import url_allowed
 from quillspark.plans import synth
@@ -224,11 +224,12 @@ def model_accuracy(spark, sf_dir):
 
 
 def pseudonymize(spark, sf_dir):
-    """Tokens of customers' companies by first order."""
+    """Tokens of customers' companies by first order, found in rendered texts of the orders."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    mentions = orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("position"), F.lit("company").alias("category"),
-                             F.concat(F.lit("客户"), F.col("o_custkey").cast("string"), F.lit("科技有限公司")).alias("value"))
-    return token_table(mentions).select("value", "n", "token")
+    text = F.concat(F.lit("购买方 客户"), F.col("o_custkey").cast("string"), F.lit("科技有限公司 日期 "), F.date_format("o_orderdate", "yyyy年MM月dd日"),
+                    F.lit(" 号码 "), F.lpad(F.col("o_orderkey").cast("string"), 10, "0"), F.lit(" 金额 ¥"), F.col("o_totalprice").cast("decimal(20,2)").cast("string"))
+    mentions = text_mentions(orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+    return token_table(mentions).where("category = 'company'").select("value", "n", "token")
 
 
 def url_allow_list(spark, sf_dir):

@@ -6,7 +6,7 @@ from quillspark.functions.money import date_text, date_value, money, percent
 from quillspark.functions.text import compact, group, lines, present, trimmed, whole
 from quillspark.operators.comparing import with_matches
 from quillspark.operators.payloads import header_map, http_ocr_text
-from quillspark.operators.pseudonyms import company_mentions, pseudonymized, token_table
+from quillspark.operators.pseudonyms import company_mentions, pseudonymized, text_mentions, token_table
 from quillspark.operators.routing import layout
 from quillspark.operators.urls import url_allowed
 
@@ -66,3 +66,13 @@ def test_pseudonyms(spark):
     mentions = company_mentions(docs)
     out = {r["doc_id"]: r["text"] for r in pseudonymized(docs, token_table(mentions), mentions).collect()}
     assert out == {1: "脱敏主体001有限公司 脱敏主体002有限公司", 2: "脱敏主体002有限公司 x", 3: None}
+
+
+def test_pseudonyms_of_all_categories(spark):
+    text = "开票日期2024年03月05日 税号91310000MA1FL0XX3K 号码24317000000012345678901 金额¥12.50 CNY 9.00 证件110101********1234 20240305 甲方有限公司"
+    docs = spark.createDataFrame([(1, text), (2, "2026年01月01日 税号91310000MA1FL0XX3K"), (3, None)], "doc_id long, text string")
+    mentions = text_mentions(docs)
+    out = {r["doc_id"]: r["text"] for r in pseudonymized(docs, token_table(mentions), mentions).collect()}
+    assert out == {
+        1: "开票日期2026年01月01日 税号9111000000000001A 号码00000000000000000000001 金额¥107.13 CNY 114.26 证件110000********0001 20260101 脱敏主体001有限公司",
+        2: "2026年01月02日 税号9111000000000001A", 3: None}
