@@ -6,8 +6,10 @@ Sketch: shingles are XOR-hashed into 64-bit words. In the folded sketch each fli
 sketches is at most the symmetric difference of the sets. In the words of a size band each flips many bits of one word, so at
 most as many words differ. A pair above the threshold differs in at most D = (x + y) * (1 - t) / (1 + t) shingles.
 With more than D words at least one word of the two sketches is equal (pigeonhole), so classes that share no word of a size
-band cannot be linked. Bands grow by half; a class also visits the bands that its larger partners live in. Words without any
-bit say little; with ``spare`` more words, a class with at most ``spare`` such words need not send them.
+band cannot be linked. Bands grow by a quarter; a class also visits the bands that its larger partners live in. Words without
+any bit are equal for all sets, so they are no keys: a band has ``spare`` words more than it needs, and a pair of which one side
+leaves at most ``spare`` words empty shares another word too. A class that leaves more empty, as small ones may, also goes by
+a second sketch under another hash, and so on; only what has failed ``SKETCHES`` times, which random sets never do, sends them.
 
 Candidates: classes that share a sketch word form a bucket. First each bucket pairs its least class with the others. A pair
 whose folded sketches (512 bits) are too far apart is no link. Of the rest each class is verified with the one it shares most
@@ -22,6 +24,7 @@ one only. Every step is a table in the shared folder.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.kernels import mix, segments, shingle_sets
-from quillspark.llm.storage import discarded, small_enough, tidied, written
+from quillspark.llm.storage import discarded, fresh, small_enough, written
 
 U64 = np.uint64
 BROADCAST_ROWS = 300_000
 FOLD_WORDS = 8  # 64-bit words of the folded sketch
+SKETCHES = 12  # sketches of a set before empty words become keys
 CHUNK = 1024  # members compared at a time
 CELL = 4096  # members of a bucket that meet in one group; larger buckets are compared cell by cell
 _KEY_BITS, _ID_BITS = 52, 12  # a bucket row packs the key and the upper bits of the class in one long
@@ -47,25 +51,35 @@ class Threshold:
             raise ValueError("a similarity above 0, at most 1")
         self.num, self.den = num, den
         self.edges = [1]
-        growth = max(1.5, den / num)
+        growth = max(1.25, den / num)
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * growth)))
-        self._edges = np.array(self.edges)
+        self._edges, self._plans = np.array(self.edges), {}
 
     def differ(self, x, y):
         """The largest symmetric difference of a linked pair of these sizes."""
         return (x + y) * (self.den - self.num) // (self.den + self.num)
 
+    def _plan(self, band: int) -> tuple[int, int]:
+        """(words, spare) of a band: as many spare words as its smallest visitor may be expected to leave empty, and two deviations."""
+        if band not in self._plans:
+            largest = self.edges[band + 1] - 1
+            d, least = int(self.differ(largest, largest)), -(-self.edges[band] * self.num // self.den)
+            spare = 1
+            while spare <= d:
+                empty = (d + 1 + spare) * math.exp(-least / (d + 1 + spare))
+                if empty + 2 * math.sqrt(empty) <= spare:
+                    break
+                spare += 1 + spare // 16
+            else:  # small sets: some have more empty words whatever their number; these take further sketches
+                spare = 1 + d // 4
+            self._plans[band] = (d + 1 + spare if d else 0, spare)
+        return self._plans[band]
+
     def bands(self, size: int) -> list[tuple[int, int, int]]:
         """(band, words, spare) of the band that ``size`` lives in and of those that it visits. Equal sets need none."""
         first, last = np.searchsorted(self._edges, [size, size * self.den // self.num], side="right") - 1
-        out = []
-        for band in range(int(first), int(last) + 1):
-            d = int(self.differ(self.edges[band + 1] - 1, self.edges[band + 1] - 1))
-            if d:
-                spare = 1 + d // 50
-                out.append((band, d + 1 + spare, spare))
-        return out
+        return [(band, *self._plan(band)) for band in range(int(first), int(last) + 1) if self._plan(band)[0]]
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         if self.den * min(len(a), len(b)) < self.num * max(len(a), len(b)):
@@ -83,13 +97,20 @@ def sketch(shingles: np.ndarray, words: int, flips: np.ndarray) -> np.ndarray:
 
 def bucket_keys(shingles: np.ndarray, t: Threshold) -> np.ndarray:
     """The keys, of ``_KEY_BITS`` bits, of the buckets that a set goes to."""
-    keys, flips = [np.zeros(0, dtype=U64)], mix(shingles)
+    keys, hashed = [np.zeros(0, dtype=U64)], {}
     for band, words, spare in t.bands(len(shingles)):
-        s = sketch(shingles, words, flips)
-        place = np.arange(words, dtype=U64) + U64(band << 40)
-        if np.count_nonzero(s == 0) <= spare:
-            place, s = place[s != 0], s[s != 0]
-        keys.append(mix(s + mix(place)) >> U64(64 - _KEY_BITS))
+        for again in range(SKETCHES):
+            if again not in hashed:
+                dealt = mix(shingles + U64(again)) if again else shingles
+                hashed[again] = dealt, mix(dealt)
+            s = sketch(hashed[again][0], words, hashed[again][1])
+            place = np.arange(words, dtype=U64) + U64((band << 44) + (again << 40))
+            few = np.count_nonzero(s == 0) <= spare
+            if few or again < SKETCHES - 1:
+                place, s = place[s != 0], s[s != 0]
+            keys.append(mix(s + mix(place)) >> U64(64 - _KEY_BITS))
+            if few:
+                break
     return np.concatenate(keys)
 
 
@@ -243,23 +264,31 @@ def components(edges: DataFrame) -> DataFrame:
     def facts(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
 
+    def named(e: DataFrame, least: DataFrame) -> DataFrame:
+        """``e`` with the root of its a. Both sides are tables, so that a node with very many edges can be split at run time."""
+        return e.join(small_enough(least, BROADCAST_ROWS), "a")
+
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "components")
     state = facts(now)
     while True:
         # large star: the larger neighbours of a node go to the least of its neighbours and itself
-        all_edges = both_ways(now)
-        least = all_edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root"))
-        large = all_edges.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
+        least = both_ways(now).groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("root"))
+        least = written(least, "components-least")
+        large = named(both_ways(now).where("b > a"), least).select(F.col("b").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
+        large = written(large, "components-large")
+        discarded(now, least)
         # small star: the smaller neighbours of a node and itself go to the least of them
-        large = written(large, "components")
-        least = large.groupBy("a").agg(F.min("b").alias("root"))
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("x"), "root").where("x <> root")
+        least = written(large.groupBy("a").agg(F.min("b").alias("root")), "components-least")
+        small = named(large, least).select(F.explode(F.array("a", "b")).alias("x"), "root").where("x <> root")
         now = written(small.select(F.col("x").alias("a"), F.col("root").alias("b")).distinct(), "components")
+        discarded(large, least)
         before, state = state, facts(now)
         if state == before:
             break
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = written(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components-roots")
+    discarded(now)
+    return out
 
 
 def _sketches_near(t: Threshold, x: str, y: str):
@@ -304,11 +333,11 @@ def _forest(pairs: list[tuple[int, int, int]], part: np.ndarray) -> list[tuple[i
     return kept
 
 
-def _across(members: DataFrame, t: Threshold, every: bool) -> DataFrame:
+def _across(members: DataFrame, t: Threshold, every: bool) -> tuple[DataFrame, DataFrame]:
     """(a, b): pairs of classes in one bucket, of different components, whose folded sketches are near enough to be linked.
 
     members: class, root, size, sketch, keys. Unless ``every``, a bucket gives only the nearest pairs that would join its
-    components, fewer than it has members.
+    components, fewer than it has members. Also the table that it reads, to be discarded.
     """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,7 +350,7 @@ def _across(members: DataFrame, t: Threshold, every: bool) -> DataFrame:
                     [pa.array(keys[at : at + (1 << 16)]), batch.column(0).take(picked), batch.column(1).take(picked)], names=["key", "class", "part"])
 
     narrow = members.select("class", F.xxhash64("root").alias("part"), "keys").mapInArrow(emit, "key long, class string, part long")
-    narrow = written(narrow, "jaccard-members")
+    narrow = written(narrow, "jaccard-narrow")
     mixed = narrow.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
     mixed = mixed.where("low <> high and n > 2")  # the two members of a smaller bucket have met already
     cells = F.ceil(F.col("n") / CELL).cast("int")
@@ -372,7 +401,7 @@ def _across(members: DataFrame, t: Threshold, every: bool) -> DataFrame:
                     held[c].append(x)
         yield flush()
 
-    return dealt.select("key", "low", "high", "class", "root", "size", "sketch").mapInArrow(compare, "a string, b string").distinct()
+    return dealt.select("key", "low", "high", "class", "root", "size", "sketch").mapInArrow(compare, "a string, b string").distinct(), narrow
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -383,74 +412,88 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     sequence is one shingle. Repeated rows each keep a row. text_key is xxhash64 of the text, for joins back to it;
     component names the component, null without shingles.
     """
-    t, spark = Threshold(num, den), docs.sparkSession
+    t = Threshold(num, den)
     spread = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
     features = written(_features(spread, n, t), "jaccard-features")
     pairs = written(_candidates(features), "jaccard-pairs")
-    tidied(spark)
-    keyed = features.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, _class()).alias("class"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    first = F.min(F.struct("doc_id", "text_key", F.col("n_shingles").alias("size"), "sketch")).alias("first")
-    nodes = features.where("n_shingles > 0").withColumn("class", _class()).join(wanted, "class").groupBy("class").agg(first)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", F.col("n_shingles").alias("size"), "sketch")).alias("first")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "jaccard-wanted")
+    classed = features.where("n_shingles > 0").withColumn("class", _class())
+    nodes = classed.join(small_enough(wanted, BROADCAST_ROWS), "class", "left_semi").groupBy("class").agg(first)
     nodes = written(nodes.select("class", "first.*"), "jaccard-nodes")
+    discarded(wanted)
 
     def texts_of(checked: DataFrame) -> DataFrame:
         classes = checked.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         named = written(nodes.join(classes, "class").select("class", "doc_id", "text_key"), "jaccard-named")
         d, s = spread.alias("d"), small_enough(named, BROADCAST_ROWS).alias("s")
         same = (F.col("d.text_key") == F.col("s.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
-        return written(d.join(s, same).select("s.class", "d.text"), "jaccard-texts")
+        texts = written(d.join(s, same).select("s.class", "d.text"), "jaccard-texts")
+        discarded(named)
+        return texts
+
+    def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+        tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        both = components(tree.unionByName(links.select("a", "b")))
+        discarded(roots)
+        return both
 
     near = _sides(pairs, nodes, {"size": "size", "sketch": "sketch"}).where(_sketches_near(t, "a", "b")).select("a", "b", "shared")
     near = written(near, "jaccard-near")
     texts = texts_of(near)
     best = near.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select("best.a", "b")
     checked = written(_verified(best, texts, n, t), "jaccard-checked")
-    tidied(spark)
-    roots = written(components(checked.where("linked")), "jaccard-roots")
+    roots = components(checked.where("linked"))
     rest = _apart(near.select("a", "b").join(checked, ["a", "b"], "left_anti"), roots).select("a", "b")
-    checked = written(_verified(rest, texts, n, t), "jaccard-checked")
-    discarded(texts)
-
-    def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-        tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        return written(components(tree.unionByName(links.select("a", "b"))), "jaccard-roots")
-
-    if checked.where("linked").limit(1).count():
-        roots = joined(roots, checked.where("linked"))
-    tidied(spark)
+    again = written(_verified(rest, texts, n, t), "jaccard-checked")
+    discarded(texts, checked, near)
+    if again.where("linked").limit(1).count():
+        roots = joined(roots, again.where("linked"))
+    discarded(again)
     # buckets that still hold several components
     opened = _apart(pairs.select("a", "b"), roots).select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
     members = nodes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    members = written(members.join(opened, "root", "left_semi"), "jaccard-open")
-    m, f = small_enough(members, BROADCAST_ROWS).alias("m"), features.where("n_shingles > 0").alias("f")
+    rooted = written(members.join(opened, "root", "left_semi"), "jaccard-open")
+    discarded(pairs)
+    m, f = small_enough(rooted, BROADCAST_ROWS).alias("m"), features.where("n_shingles > 0").alias("f")
     same = (F.col("m.text_key") == F.col("f.text_key")) & F.col("m.doc_id").eqNullSafe(F.col("f.doc_id"))
     members = f.join(m, same).select("m.class", "m.root", "m.size", "m.sketch", "f.keys").dropDuplicates(["class"])
     members = written(members, "jaccard-members")
+    discarded(rooted)
     failed = None
     for every in (False, True):
-        across = _across(members, t, every)
+        across, narrow = _across(members, t, every)
         if every:  # what the nearest pairs have not joined
             across = across.join(failed, ["a", "b"], "left_anti")
         across = written(across, "jaccard-across")
-        tidied(spark)
+        discarded(narrow)
         if not across.limit(1).count():
             break
-        checked = written(_verified(across, texts_of(across), n, t), "jaccard-checked")
+        texts = texts_of(across)
+        checked = written(_verified(across, texts, n, t), "jaccard-checked")
+        discarded(across, texts)
         roots = joined(roots, checked.where("linked"))
         failed = checked.where("not linked")
         if not failed.limit(1).count():
             break
-        now = roots.withColumnRenamed("node", "class")
-        members = members.drop("root").join(now, "class", "left").withColumn("root", F.coalesce("root", "class"))
+        now, held = roots.withColumnRenamed("node", "class"), members
+        members = held.drop("root").join(now, "class", "left").withColumn("root", F.coalesce("root", "class"))
         members = written(members, "jaccard-members")
-    rooted = keyed.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rooted = written(rooted, "jaccard-rooted")
-    discarded(features)
-    tidied(spark)
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select(
-        "doc_id", "text_key", "n_shingles", F.col("root").alias("component"), F.coalesce("least", "doc_id").alias("component_id"))
+        discarded(held)
+    discarded(members)
+    # the least id of each component, class by class: no step deals documents, or the classes of one component, to one task
+    owns = classed.groupBy("class").agg(F.min("doc_id").alias("own"), F.count("*").alias("n"))
+    classes = owns.join(roots.withColumnRenamed("node", "class"), "class", "left").where("n > 1 or root is not null").drop("n")
+    classes = written(classes, "jaccard-classes")
+    least = written(classes.where("root is not null").groupBy("root").agg(F.min("own").alias("least")), "jaccard-least")
+    linked = classes.join(small_enough(least, BROADCAST_ROWS), "root").select("class", "root", "least")
+    places = linked.unionByName(classes.where("root is null").select("class", F.col("class").alias("root"), F.col("own").alias("least")))
+    places = written(places, "jaccard-places")
+    discarded(nodes, roots, classes, least)
+    keyed = features.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, _class()).alias("class"))
+    keyed = keyed.join(small_enough(places, BROADCAST_ROWS), "class", "left")
+    component_id = F.when(F.col("root").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
+    return keyed.select("doc_id", "text_key", "n_shingles", F.coalesce("root", "class").alias("component"), component_id.alias("component_id"))
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -464,10 +507,11 @@ def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     first = written(first, "jaccard-first")
     gone = rows.join(first, "component").where("place <> first").select("doc_id", "text_key").distinct()
     gone = small_enough(written(gone, "jaccard-gone"), BROADCAST_ROWS).alias("g")
-    d = docs.withColumn("__key", F.xxhash64("text")).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.__key") == F.col("g.text_key"))
+    key = fresh("text_key", docs)
+    d = docs.withColumn(key, F.xxhash64("text")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{key}") == F.col("g.text_key"))
     left = d.join(gone, same, "left_anti")
     if first.where("n > places").limit(1).count():  # some row is repeated as a whole
         has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-        left = left.where(~has_words).unionByName(left.where(has_words).dropDuplicates(["doc_id", "__key"]))
+        left = left.where(~has_words).unionByName(left.where(has_words).dropDuplicates(["doc_id", key]))
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])

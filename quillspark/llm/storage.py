@@ -7,7 +7,6 @@ the run. The folder is the session's ``spark.checkpoint.dir``; only a local sess
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -32,10 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, computed once, here and now."""
-    spark = df.sparkSession
+    """``df`` as a table in the shared folder, computed once, here and now; the write's shuffle files go with its end."""
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,10 +51,12 @@ def discarded(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def tidied(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished steps now rather than at the driver's next full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no frame has a column of that name."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small_enough(df: DataFrame, most: int) -> DataFrame:

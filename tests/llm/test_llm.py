@@ -100,6 +100,14 @@ def test_pigeonhole_loses_no_link():
             assert np.bitwise_count(jaccard.folded(x) ^ jaccard.folded(y)).sum() <= t.differ(len(x), len(y))
 
 
+@pytest.mark.parametrize("num,den", [(8, 10), (90, 100)])
+@pytest.mark.parametrize("size", [5, 8, 20, 60, 150, 400, 1000, 5000, 20000])
+def test_unrelated_sets_share_no_bucket(num, den, size):
+    t, gen, n = jaccard.Threshold(num, den), np.random.default_rng(size), 60
+    keys = [set(jaccard.bucket_keys(np.sort(gen.integers(0, 2**63, size, dtype=np.int64).view(np.uint64)), t).tolist()) for _ in range(n)]
+    assert sum(bool(a & b) for a, b in itertools.combinations(keys, 2)) <= n * n / 2000
+
+
 def test_buckets_in_cells(docs, monkeypatch):
     monkeypatch.setattr(jaccard, "CELL", 3)
     got = jaccard.jaccard_components(docs.select("doc_id", "text"), 3, 90, 100).collect()
