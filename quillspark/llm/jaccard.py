@@ -168,20 +168,27 @@ def _key_starts(a: np.ndarray) -> np.ndarray:
     return start
 
 
+def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Runs of ``counts`` values as one binary each."""
+    ends = np.concatenate([[0], np.cumsum(counts)]) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
 def _pairs(hub_a, hub_b, a, b) -> pa.RecordBatch:
-    """Distinct rows (least class, other class) and the number of buckets that they share."""
+    """Distinct rows (least class, other class), the number of buckets that they share, and the keys of these."""
     mask = U64((1 << _ID_BITS) - 1)
     rows = np.stack([(hub_a & mask).view(np.int64), hub_b, (a & mask).view(np.int64), b], axis=1)
-    rows = rows[np.lexsort(rows.T)]
+    order = np.lexsort(rows.T)
+    rows, keys = rows[order], (a >> U64(_ID_BITS))[order]
     new = np.ones(len(rows), dtype=bool)
     new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
     shared = np.diff(np.append(np.flatnonzero(new), len(rows)))
     rows = rows[new]
     columns = [pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3]), pa.array(shared)]
-    return pa.RecordBatch.from_arrays(columns, names=["high", "low", "high2", "low2", "shared"])
+    return pa.RecordBatch.from_arrays([*columns, _binary(keys, shared)], names=["high", "low", "high2", "low2", "shared", "keys"])
 
 
-_PAIR = "high int, low long, high2 int, low2 long, shared long"
+_PAIR = "high int, low long, high2 int, low2 long, shared long, keys binary"
 
 
 def _local_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,13 +234,13 @@ def _class(high: str = "high", low: str = "low"):
 
 
 def _candidates(features: DataFrame) -> DataFrame:
-    """(a, b, shared): pairs of classes that share buckets, each with the bucket's least."""
+    """(a, b, shared, keys): pairs of classes that share buckets, each with the least of a batch or bucket; a pair may repeat."""
     rows = features.select("high", "low", "keys").where("n_shingles > 0")
     inside = rows.mapInArrow(_local_pairs, _PAIR)
     sent = rows.mapInArrow(_sent, "a long, b long")
     dealt = sent.repartition(F.shiftrightunsigned("a", _ID_BITS)).sortWithinPartitions("a", "b")
     pairs = inside.unionByName(dealt.mapInArrow(_met, _PAIR)).where("high <> high2 or low <> low2")
-    return pairs.groupBy(_class().alias("a"), _class("high2", "low2").alias("b")).agg(F.sum("shared").alias("shared"))
+    return pairs.select(_class().alias("a"), _class("high2", "low2").alias("b"), "shared", "keys")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: Threshold) -> DataFrame:
@@ -302,17 +309,22 @@ def _sketches_near(t: Threshold, x: str, y: str):
 
 def _sides(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``pairs`` (a, b) with the columns of ``table`` (class, ...) for both sides, named with _a and _b."""
+    table = small_enough(table, BROADCAST_ROWS // 4)
     for side in ("a", "b"):
         named = table.select(F.col("class").alias(side), *[F.col(c).alias(f"{new}_{side}") for c, new in columns.items()])
         pairs = pairs.join(named, side, "left")
     return pairs
 
 
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with root_a and root_b; a class without links is its own root."""
+    named = _sides(pairs, roots.withColumnRenamed("node", "class"), {"root": "root"})
+    return named.withColumns({f"root_{x}": F.coalesce(f"root_{x}", x) for x in ("a", "b")})
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose sides are in different components, with root_a and root_b."""
-    named = _sides(pairs, roots.withColumnRenamed("node", "class"), {"root": "root"})
-    named = named.withColumns({f"root_{x}": F.coalesce(f"root_{x}", x) for x in ("a", "b")})
-    return named.where("root_a <> root_b")
+    return _rooted(pairs, roots).where("root_a <> root_b")
 
 
 def _forest(pairs: list[tuple[int, int, int]], part: np.ndarray) -> list[tuple[int, int]]:
@@ -333,32 +345,50 @@ def _forest(pairs: list[tuple[int, int, int]], part: np.ndarray) -> list[tuple[i
     return kept
 
 
-def _across(members: DataFrame, t: Threshold, every: bool) -> tuple[DataFrame, DataFrame]:
-    """(a, b): pairs of classes in one bucket, of different components, whose folded sketches are near enough to be linked.
+def _mixed(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, class): the members of the buckets that hold several components. met: of ``_candidates``.
 
-    members: class, root, size, sketch, keys. Unless ``every``, a bucket gives only the nearest pairs that would join its
-    components, fewer than it has members. Also the table that it reads, to be discarded.
+    A bucket holds several if some member's component is not that of the least it was paired with. All other buckets, most
+    of them, go no further. Of those with two members nothing is left to compare.
     """
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = batch.column(2).to_pylist()
+            packed = batch.column(0).to_pylist()
             rows = np.repeat(np.arange(len(packed)), [len(x) // 8 for x in packed])
             keys = np.frombuffer(b"".join(packed), dtype=np.int64)
             for at in range(0, len(rows), 1 << 16):
                 picked = pa.array(rows[at : at + (1 << 16)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[at : at + (1 << 16)]), batch.column(0).take(picked), batch.column(1).take(picked)], names=["key", "class", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), *[c.take(picked) for c in batch.columns[1:]]], names=["key", *batch.schema.names[1:]])
 
-    narrow = members.select("class", F.xxhash64("root").alias("part"), "keys").mapInArrow(emit, "key long, class string, part long")
-    narrow = written(narrow, "jaccard-narrow")
-    mixed = narrow.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
-    mixed = mixed.where("low <> high and n > 2")  # the two members of a smaller bucket have met already
+    apart = _apart(met, roots)
+    keys = written(apart.select("keys").mapInArrow(unpacked, "key long").distinct(), "jaccard-mixed")
+    touched = written(apart.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct(), "jaccard-touched")
+    named = _rooted(met, roots)
+    for side in ("a", "b"):
+        named = named.join(small_enough(touched.withColumnRenamed("root", f"root_{side}"), BROADCAST_ROWS), f"root_{side}", "left_semi")
+    rows = named.select("keys", "a", "b").mapInArrow(unpacked, "key long, a string, b string")
+    rows = rows.join(small_enough(keys, BROADCAST_ROWS), "key", "left_semi")
+    rows = written(rows.select("key", F.explode(F.array("a", "b")).alias("class")).distinct(), "jaccard-members")
+    discarded(keys, touched)
+    return rows
+
+
+def _across(members: DataFrame, nodes: DataFrame, t: Threshold, every: bool) -> DataFrame:
+    """(a, b): pairs of classes in one bucket, of different components, whose folded sketches are near enough to be linked.
+
+    members: key, class, of ``_mixed``; nodes: class, root, size, sketch. Unless ``every``, a bucket gives only the nearest
+    pairs that would join its components, fewer than it has members.
+    """
+    known = small_enough(nodes, BROADCAST_ROWS // 4)
+    parted = members.join(known.select("class", F.xxhash64("root").alias("part")), "class")
+    mixed = parted.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
+    mixed = mixed.where("low <> high and n > 2")
     cells = F.ceil(F.col("n") / CELL).cast("int")
-    rows = narrow.join(mixed.select("key", cells.alias("cells")), "key").select("key", "class", "cells")
+    rows = members.join(mixed.select("key", cells.alias("cells")), "key").select("key", "class", "cells")
     own = F.pmod(F.xxhash64("class"), F.col("cells")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "class")
-    dealt = rows.join(members.select("class", "root", "size", "sketch"), "class").repartition("key", "low", "high")
+    dealt = rows.join(known, "class").repartition("key", "low", "high")
     dealt = dealt.sortWithinPartitions("key", "low", "high", "root", "class")
 
     def near(held: dict) -> set[tuple[str, str]]:
@@ -401,7 +431,7 @@ def _across(members: DataFrame, t: Threshold, every: bool) -> tuple[DataFrame, D
                     held[c].append(x)
         yield flush()
 
-    return dealt.select("key", "low", "high", "class", "root", "size", "sketch").mapInArrow(compare, "a string, b string").distinct(), narrow
+    return dealt.select("key", "low", "high", "class", "root", "size", "sketch").mapInArrow(compare, "a string, b string").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -414,8 +444,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     """
     t = Threshold(num, den)
     spread = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    features = written(_features(spread, n, t), "jaccard-features")
-    pairs = written(_candidates(features), "jaccard-pairs")
+    keyed = written(_features(spread, n, t), "jaccard-keys")
+    met = written(_candidates(keyed), "jaccard-met")
+    features = written(keyed.drop("keys"), "jaccard-features")
+    discarded(keyed)
+    pairs = written(met.groupBy("a", "b").agg(F.sum("shared").alias("shared")), "jaccard-pairs")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", F.col("n_shingles").alias("size"), "sketch")).alias("first")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "jaccard-wanted")
     classed = features.where("n_shingles > 0").withColumn("class", _class())
@@ -450,23 +483,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     if again.where("linked").limit(1).count():
         roots = joined(roots, again.where("linked"))
     discarded(again)
-    # buckets that still hold several components
-    opened = _apart(pairs.select("a", "b"), roots).select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
-    members = nodes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rooted = written(members.join(opened, "root", "left_semi"), "jaccard-open")
     discarded(pairs)
-    m, f = small_enough(rooted, BROADCAST_ROWS).alias("m"), features.where("n_shingles > 0").alias("f")
-    same = (F.col("m.text_key") == F.col("f.text_key")) & F.col("m.doc_id").eqNullSafe(F.col("f.doc_id"))
-    members = f.join(m, same).select("m.class", "m.root", "m.size", "m.sketch", "f.keys").dropDuplicates(["class"])
-    members = written(members, "jaccard-members")
-    discarded(rooted)
+    # buckets that still hold several components
+    members = _mixed(met, roots)
+    discarded(met)
     failed = None
     for every in (False, True):
-        across, narrow = _across(members, t, every)
+        parted = nodes.join(small_enough(roots.withColumnRenamed("node", "class"), BROADCAST_ROWS), "class", "left")
+        parted = parted.select("class", F.coalesce("root", "class").alias("root"), "size", "sketch")
+        parted = written(parted.join(members.select("class").distinct(), "class", "left_semi"), "jaccard-open")
+        across = _across(members, parted, t, every)
         if every:  # what the nearest pairs have not joined
             across = across.join(failed, ["a", "b"], "left_anti")
         across = written(across, "jaccard-across")
-        discarded(narrow)
+        discarded(parted)
         if not across.limit(1).count():
             break
         texts = texts_of(across)
@@ -476,10 +506,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
         failed = checked.where("not linked")
         if not failed.limit(1).count():
             break
-        now, held = roots.withColumnRenamed("node", "class"), members
-        members = held.drop("root").join(now, "class", "left").withColumn("root", F.coalesce("root", "class"))
-        members = written(members, "jaccard-members")
-        discarded(held)
     discarded(members)
     # the least id of each component, class by class: no step deals documents, or the classes of one component, to one task
     owns = classed.groupBy("class").agg(F.min("doc_id").alias("own"), F.count("*").alias("n"))
