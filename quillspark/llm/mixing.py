@@ -5,23 +5,23 @@ leaves goes to the others by weight. Each of its documents expects target / size
 then a hash of the id) the expected copies are summed up, one random offset per source is added, and a document is
 emitted once for each integer that its stretch crosses. Expected copies are counted in 2^-20, so sums are exact.
 
-The order by size class spreads the picks over small and large documents. The offset is, of ``OFFSETS`` evenly spaced ones
-after a random start, the one whose words come nearest the target.
+The order by size class spreads the picks over small and large documents, so that a source's words differ from its target by
+about the size of one of its largest documents at most.
 
 The prefix sum is distributed: counts per (source, size class, one of 16 hash groups) give each group its start, and rows
-are ranked inside their group only, so a source that holds a third of all rows is spread over many tasks.
+are ranked inside their group only, so a source that holds a third of all rows is spread over many tasks. Nor do the sources
+meet in one task: they are numbered range by range, and the level is found by sums over them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillspark.llm.storage import written
+from quillspark.llm.storage import discarded, fresh, small_enough, written
 
 UNIT = 1 << 20
 MOST_COPIES = 3
 BROADCAST_GROUPS = 500_000
-OFFSETS = 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -29,31 +29,46 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """``sizes`` as a table with place: 0 for the first source by code point, null last. Only a count a partition goes to the driver."""
+    none = F.col("source").isNull()
+    dealt = sizes.repartitionByRange(none, "source").sortWithinPartitions(none, "source")
+    rows = written(dealt.withColumns({"part": F.spark_partition_id(), "inside": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "mix-places")
+    before, at = [], 0
+    for part, n in sorted(map(tuple, rows.groupBy("part").count().collect())):
+        before.append((part, at))
+        at += n
+    known = sizes.sparkSession.createDataFrame(before, "part int, before long")
+    placed = rows.join(F.broadcast(known), "part").select(*sizes.columns, (F.col("before") + F.col("inside")).alias("place"))
+    out = written(placed, "mix-numbered")
+    discarded(rows)
+    return out
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(source, source_size, target, rate) from one row (source, source_size) a source.
 
-    Sources by code point, null last, weigh ``weights``, repeating. rate: expected copies of a document in 2^-20. The work is
-    on the table of sources, not on documents.
+    Sources by code point, null last, weigh ``weights``, repeating. rate: expected copies of a document in 2^-20. Sources
+    above the level of words a weight stop at their cap; the level rises by what they leave until none is above it.
     """
-    everything = Window.partitionBy()
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((rank - 1) % len(weights) + 1).cast("int"))
-    cap = F.col("source_size") * MOST_COPIES
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    table = numbered(sizes).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * MOST_COPIES).alias("cap"))
     exact = "decimal(38,0)"
-    steps = (
-        sizes.withColumn("weight", weight.cast("long")).withColumn("cap", cap)
-        .withColumn("at", F.row_number().over(by_ratio))
-        .withColumn("left", F.sum("source_size").over(everything)
-                    - F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("weight_left", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-    )
-    free = F.col("left").cast(exact) * F.col("weight") <= F.col("cap").cast(exact) * F.col("weight_left")
-    level = F.struct("at", (F.col("left").cast("double") / F.col("weight_left")).alias("level"))
-    steps = steps.withColumn("first_free", F.min(F.when(free, level)).over(everything))
-    target = F.when(F.col("at") < F.col("first_free.at"), F.col("cap").cast("double")).otherwise(F.col("first_free.level") * F.col("weight"))
+    words, total = (int(x or 0) for x in table.agg(F.sum("source_size"), F.sum("weight")).first())
+    left, weight_left = words, total
+
+    def above():
+        return F.col("cap").cast(exact) * F.lit(weight_left).cast(exact) < F.lit(left).cast(exact) * F.col("weight")
+
+    while True:
+        capped, heavy = (int(x or 0) for x in table.where(above()).agg(F.sum("cap"), F.sum("weight")).first())
+        if (words - capped, total - heavy) == (left, weight_left):
+            break
+        left, weight_left = words - capped, total - heavy
+    level = float(left) / weight_left if weight_left else 0.0
+    target = F.when(above(), F.col("cap").cast("double")).otherwise(F.lit(level) * F.col("weight"))
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") * float(UNIT) / F.col("source_size"))).otherwise(F.lit(0))
-    return steps.withColumn("target", target).select("source", "source_size", "target", rate.cast("long").alias("rate"))
+    return table.withColumn("target", target).select("source", "source_size", "target", rate.cast("long").alias("rate"))
 
 
 def _start(source: Column) -> Column:
@@ -70,69 +85,51 @@ def _crossed(rate: Column, rank: Column, offset: Column) -> Column:
     return up_to(rank) - up_to(rank - 1)
 
 
-def _placed(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with __size, __order, __class and __group."""
-    size_class = (F.length(F.bin("__size")) * 16
-                  + F.expr("shiftright(__size, cast(greatest(length(bin(__size)) - 4, 0) as int))")).cast("int")
+def _placed(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
+    """``docs`` with source, size, order, class and group."""
+    size_class = (F.length(F.bin("size")) * 16 + F.expr("shiftright(size, cast(greatest(length(bin(size)) - 4, 0) as int))")).cast("int")
     return (
-        docs.withColumn("__size", word_count(F.col(f"`{text}`")))
-        .withColumn("__order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-        .withColumn("__class", size_class)
-        .withColumn("__group", F.substring("__order", 1, 1))
-    )
+        docs.withColumns({"size": word_count(F.col(text)), "source": F.col(source), "order": F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))})
+        .withColumn("class", size_class).withColumn("group", F.substring("order", 1, 1)))
 
 
-_KEY = ["source", "__class", "__group"]
-
-
-def _ranked(placed: DataFrame, starts: DataFrame, small: bool) -> DataFrame:
-    """With __rank, the place of a document within its source. small: ``starts`` may be broadcast."""
-    inside = F.row_number().over(Window.partitionBy(*_KEY).orderBy("__order", "__size"))
-    p, s = placed.withColumn("__inside", inside).alias("p"), starts.alias("s")
-    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in _KEY]
-    joined = p.join(F.broadcast(s) if small else s, same[0] & same[1] & same[2], "inner")
-    return joined.select("p.*", F.col("s.source_size").alias("__source_size"), F.col("s.target").alias("__target"), F.col("s.rate").alias("__rate"),
-                         F.col("s.first_offset").alias("__offset"), (F.col("s.__before") + F.col("p.__inside")).alias("__rank"))
+_KEY = ["source", "class", "group"]
 
 
 def mix_sources(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = (1, 2, 3), prefix: str = "") -> DataFrame:
     """``docs`` (with doc_id and source) with size, source_size, target and copies; columns of those names are replaced.
 
-    ``prefix`` goes before the new names.
-
-    Size is the number of words; a null text has none. A source without words takes none. A null source is a source. Rows
-    that agree in id and size are interchangeable. Reruns agree. Clashing column names starting with ``__`` are dropped.
+    ``prefix`` goes before the new names; all other columns stay, whatever their names. Size is the number of words of the
+    whole text; a null text has none. A source without words takes none; a document without words may have copies, which
+    take no words. A null source is a source. Rows that agree in id and size are interchangeable. Reruns agree. An empty table
+    gives an empty one.
     """
-    added = {prefix + c for c in ("size", "source_size", "target", "copies")}
-    kept = [c for c in docs.columns if c.lower() not in added and not c.startswith("__")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    narrow = written(_placed(docs.select("doc_id", "source", F.col(f"`{text}`").alias("__text")), "__text").drop("__text"), "mix")
-    groups = narrow.groupBy(*_KEY).agg(F.count("*").alias("n"), F.sum("__size").alias("words"))
+    added = {(prefix + c).lower() for c in ("size", "source_size", "target", "copies")}
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c.lower(): o for c, o in zip(docs.columns, own, strict=True)}
+    plain = docs.toDF(*own)
+    placed = _placed(plain, at["doc_id"], at["source"], at[text.lower()])
+    groups = placed.groupBy(*_KEY).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    groups = written(groups, "mix-groups")
     sources = source_targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
-    in_order = Window.partitionBy("source").orderBy("__class", "__group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.withColumn("__before", F.coalesce(F.sum("n").over(in_order), F.lit(0))).alias("g").join(
-        sources.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source"))
-    ).select("g.source", "g.__class", "g.__group", "g.__before", "s.source_size", "s.target", "s.rate", _start(F.col("g.source")).alias("first_offset"))
+    in_order = Window.partitionBy("source").orderBy("class", "group").rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0))).alias("g").join(
+        small_enough(sources, BROADCAST_GROUPS).alias("s"), F.col("g.source").eqNullSafe(F.col("s.source"))
+    ).select("g.source", "g.class", "g.group", "g.before", "s.source_size", "s.target", "s.rate", _start(F.col("g.source")).alias("offset"))
     # At most 16 groups for each of a few hundred size classes of a source: the table follows the number of sources only.
     starts = written(starts, "mix-starts")
-    small = starts.count() <= BROADCAST_GROUPS
-    tries = [F.col("__offset") + i * (UNIT // OFFSETS) for i in range(OFFSETS)]
-    gaps = F.array_sort(F.array(*[
-        F.struct(F.abs(F.sum(_crossed(F.col("__rate"), F.col("__rank"), o % UNIT) * F.col("__size")) - F.first("__target")).alias("gap"), F.lit(i).alias("i"))
-        for i, o in enumerate(tries)]))
-    best = _ranked(narrow, starts, small).groupBy("source", "__offset").agg(gaps[0]["i"].alias("i"))
-    best = best.select("source", ((F.col("__offset") + F.col("i") * (UNIT // OFFSETS)) % UNIT).alias("offset"))
-    s, b = starts.alias("s"), best.alias("b")
-    chosen = written(
-        s.join(b, F.col("s.source").eqNullSafe(F.col("b.source"))).select("s.*", "b.offset").drop("first_offset").withColumnRenamed("offset", "first_offset"),
-        "mix-offsets")
-    copies = _crossed(F.col("__rate"), F.col("__rank"), F.col("__offset"))
-    return _ranked(_placed(docs, text), chosen, small).select(
-        *[F.col(f"`{c}`") for c in kept], F.col("__size").alias(f"{prefix}size"), F.col("__source_size").alias(f"{prefix}source_size"),
-        F.col("__target").alias(f"{prefix}target"), copies.alias(f"{prefix}copies"))
+    discarded(groups)
+    inside = F.row_number().over(Window.partitionBy(*_KEY).orderBy("order", "size"))
+    p, s = placed.withColumn("inside", inside).alias("p"), small_enough(starts, BROADCAST_GROUPS).alias("s")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in _KEY]
+    copies = _crossed(F.col("s.rate"), F.col("s.before") + F.col("p.inside"), F.col("s.offset"))
+    return p.join(s, same[0] & same[1] & same[2]).select(
+        *[F.col(f"p.{at[c.lower()]}").alias(c) for c in docs.columns if c.lower() not in added], F.col("p.size").alias(f"{prefix}size"),
+        F.col("s.source_size").alias(f"{prefix}source_size"), F.col("s.target").alias(f"{prefix}target"), copies.alias(f"{prefix}copies"))
 
 
 def emit(mixed: DataFrame, columns: list[str], copies: str = "copies") -> DataFrame:
-    """Each document once for each of its copies."""
-    repeated = mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int"))))
+    """``columns`` of each row once for each of its ``copies``; null or no copies: not at all."""
+    copy = fresh("copy", mixed)
+    repeated = mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(f"`{copies}`").cast("int"))))
     return repeated.select(*[F.col(f"`{c}`") for c in columns])

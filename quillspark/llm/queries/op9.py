@@ -27,9 +27,6 @@ t AS (SELECT source, source_size, CASE WHEN pos < free_at THEN CAST(cap AS DOUBL
 q AS (SELECT p.*, t.source_size, t.target, t.u,
     CASE WHEN t.source_size > 0 THEN CAST(floor(t.target * 1048576.0 / t.source_size) AS BIGINT) ELSE 0 END AS rate,
     row_number() OVER (PARTITION BY p.source ORDER BY class, substr(o, 1, 1), o, size) AS n FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT q.*, i, (n * rate + (u + i * 65536) % 1048576) // 1048576 - ((n - 1) * rate + (u + i * 65536) % 1048576) // 1048576 AS copies FROM q, range(16) r(i)),
-e AS (SELECT source, i, abs(sum(copies * size) - any_value(target)) AS gap FROM c GROUP BY source, i),
-b AS (SELECT source, first(i ORDER BY gap, i) AS i FROM e GROUP BY source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken
-FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.i = b.i
+c AS (SELECT *, (n * rate + u) // 1048576 - ((n - 1) * rate + u) // 1048576 AS copies FROM q)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM c
 """
