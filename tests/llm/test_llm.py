@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -192,13 +193,14 @@ def test_topk(spark):
     gen = np.random.default_rng(1)
     rows = [(i, [float(x) for x in gen.normal(size=8)]) for i in range(700)] + [(i, [0.5] * 8) for i in range(700, 900)]
     rows += [(900, None), (901, [1.0, None]), (902, [float("nan")] * 8), (903, [float("inf")] * 8), (None, [1.0] * 8), (905, []), (1000, [3e5] * 8), (100, [0.25] * 8)]
+    rows += [(1100, [3e38, -1e30] * 4), (1101, [1e17, 2.0]), (1102, [3e38, -1e30, 3e38, 0.0]), (1200, [-3e38] * 8), (1103, [1e9] * 8)]  # beyond 2^52 and 2^63
     vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5))
     got = topk.top_k(vectors, F.col("id") % 100 == 0).collect()
-    good = [(r["id"], r["v"]) for r in vectors.collect()]
-    want = set()
+    good = [(r["id"], [int(x) for x in r["v"]]) for r in vectors.collect()]
+    top, want = 2**63 - 1, set()
     for q, v in {(i, tuple(v)) for i, v in good if i % 100 == 0}:
         scores = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in good if c != q)
-        want |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(scores[:10])}
+        want |= {(q, n + 1, c, max(-top - 1, min(top, -s))) for n, (s, c) in enumerate(scores[:10])}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert topk.top_k(vectors.where("id < 0"), F.col("id") >= 0).count() == 0
 
@@ -206,10 +208,18 @@ def test_topk(spark):
 def test_blocks_are_pruned():
     gen = np.random.default_rng(2)
     centres = gen.normal(size=(20, 16)) * 300
-    vectors = (np.repeat(centres, 256, axis=0) + gen.normal(size=(5120, 16)) * 10).astype(np.int64)
-    best = topk._Best(4, 10)
-    scored = topk.search_blocks(vectors[:4], np.arange(4), np.arange(5120), vectors, best)
+    vectors = np.floor(np.repeat(centres, 256, axis=0) + gen.normal(size=(5120, 16)) * 10)
+    blocks = [(np.arange(i, i + 256), vectors[i : i + 256]) for i in range(0, 5120, 256)]
+    ends = [f([v for _, v in blocks], axis=1) for f in (np.max, np.min)]
+    scored = topk.search_blocks(vectors[:4], np.arange(4), blocks, *ends, topk._Best(4, 10))
     assert scored < 4 * 20 / 2
+    high = topk._Best(4, 10, np.full(4, 1e18))  # a threshold found elsewhere
+    assert topk.search_blocks(vectors[:4], np.arange(4), blocks, *ends, high) == 0
+
+
+@given(st.lists(st.integers(-(2**80), 2**80) | st.integers(-300, 300), max_size=30))
+def test_down_keys_sort(numbers):
+    assert sorted(numbers, key=topk.down_key) == sorted(numbers, reverse=True)
 
 
 def test_toxicity(spark):
