@@ -341,18 +341,31 @@ def test_alignment():
     assert all(0 <= s <= e <= len(a) for (_, s, e), (a, _) in zip(got, pairs))
 
 
-def test_tokens(docs):
+@pytest.mark.parametrize("hot", [200_000, 40, 0])
+def test_tokens(spark, docs, monkeypatch, hot):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokencount, "HOT", hot)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    library = tokencount.tokenizer(path)
-    pieces = [" ", "  ", "\n", "a", "Word", "1", ".", "'s", "é", "　", "\xa0", "<|endoftext|>", "\x1c", "中", "ª"]
-    odd = ["".join(RANDOM.choices(pieces, k=12)) for _ in range(2000)] + [t or "" for t in TEXTS]
-    assert tokencount.counter(path)(odd) == [len(e.ids) for e in library.encode_batch(odd, add_special_tokens=False)]
+    library = Tokenizer.from_file(path)
+    pieces = [" ", "  ", "\n", "a", "Word", "1", ".", "'s", "é", "\u3000", "\xa0", "<|endoftext|>", "\x1c", "\x85", "中", "ª", "\u0378", "\U0001f600", "²", "'"]
+    odd = ["".join(RANDOM.choices(pieces, k=12)) for _ in range(2000)] + [prose(30_000), "x" * 5000]
+    more = spark.createDataFrame([(i, t, "n_tokens", "row", 7, i) for i, t in enumerate(odd)], "doc_id long, text string, lang string, row string, bytes int, n_tokens long")
+    got = {(r["doc_id"], r["n_bytes"], r["n_tokens"], r["row"], r["bytes"]) for r in tokencount.token_counts(more, path).collect()}
+    assert got == {(i, len(t.encode()), len(library.encode(t, add_special_tokens=False).ids), "row", 7) for i, t in enumerate(odd)}
     got = [tuple(r) for r in tokencount.token_counts(docs, path).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()]
     want = [(i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in ROWS]
     assert sorted(got) == sorted((*x, x[2] > 1024) for x in want)
     assert {"lang", "source", "size"} <= set(tokencount.token_counts(docs, path).columns)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_tokens_of_other_kinds(docs, name):
+    path = public_tokenizers.path(name)
+    got = sorted((r["doc_id"], r["n_tokens"]) for r in tokencount.token_counts(docs, path).collect())
+    assert got == sorted((i, tokencount.counter(path)([t or ""])[0]) for i, t, *_ in ROWS)
+
+
 def brute_secrets(t):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 12]
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
