@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 EVENT_COLUMNS = ("conv_id", "seq", "kind", "message_id", "role", "text")
 _ESCAPED = re.compile(r"[\\<>]")
@@ -81,14 +82,16 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 def format_conversations(events: DataFrame, trained: str = "assistant") -> DataFrame:
     """One row a conversation: conv_id, n_turns, formatted, loss_spans (array of start and end, code points).
 
-    The log is dealt by conversation and sorted by sequence; a task folds it as it streams by and holds one conversation.
+    The log is dealt by conversation and sorted by sequence; a task folds it as it streams by and holds one conversation,
+    whole texts however long. conv_id may be of any type that sorts. Repeated events count each, in the order of the
+    ties; an empty log gives no conversations. Columns other than ``EVENT_COLUMNS`` describe events and are not carried over.
     """
     order = F.when(F.col("kind") == "message", 0).otherwise(1)
     events = events.select(*EVENT_COLUMNS, order.alias("rank"))
     dealt = events.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "rank", "kind", "message_id", "role", "text")
     schema = dealt.select("conv_id").withColumn("n_turns", F.lit(0).cast("long")).withColumn("formatted", F.lit("")).withColumn(
         "loss_spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).schema
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[dealt.schema["conv_id"].dataType.simpleString()]
+    key_type = to_arrow_type(dealt.schema["conv_id"].dataType)
 
     def conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         now, held = None, []
@@ -125,7 +128,10 @@ def format_conversations(events: DataFrame, trained: str = "assistant") -> DataF
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what the formatted conversations say, from the formatted text and the loss mask alone."""
+    """Digests of what the formatted conversations say, from the formatted text and the loss mask alone.
+
+    One row a row of ``formatted``, repeated ones each; raises ValueError where a text is not whole turns.
+    """
     schema = formatted.select("conv_id").withColumns(
         {"n_turns": F.lit(0).cast("long"), "turns_sha256": F.lit(""), "loss_chars": F.lit(0).cast("long"), "loss_sha256": F.lit(""),
          "formatted_chars": F.lit(0).cast("long")}).schema

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.kernels import IS_ALNUM, mix, randoms, segments, windows, word_hashes
-from quillspark.llm.storage import small_enough, written
+from quillspark.llm.storage import fresh, small_enough, written
 
 WHOLE = 4
 SHARE = 0.5
@@ -222,7 +222,8 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Dat
 
     docs: doc_id, text; items: item_id, text. start and end count words of the text. text_key (xxhash64 of the text) tells
     documents of one id apart; rows that agree in both give one row an item. Null and empty texts hold nothing; items under
-    ``WHOLE`` words match as whole sequences, those without words not at all; repeated items match alike. An empty table on either side gives an empty result.
+    ``WHOLE`` words match as whole sequences, those without words not at all; repeated items match alike. An empty table on
+    either side gives an empty result. Whole texts are read, however long; other columns take no part.
     """
     table = written(_item_table(items).where("n_words > 0"), "decontam-items")
     total = table.agg(F.sum(2 * F.col("n_words"))).first()[0] or 0
@@ -240,8 +241,9 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Dat
 
 
 def without(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` without the documents that ``found`` names by doc_id and text_key."""
+    """``docs`` without the documents that ``found`` names by doc_id and text_key; all rows and columns else stay."""
     named = small_enough(written(found.select("doc_id", "text_key").distinct(), "decontam-found"), BROADCAST_ROWS)
-    d, f = docs.withColumn("__key", F.xxhash64("text")).alias("d"), named.alias("f")
-    same = (F.col("d.__key") == F.col("f.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
+    key = fresh("text_key", docs)
+    d, f = docs.withColumn(key, F.xxhash64("text")).alias("d"), named.alias("f")
+    same = (F.col(f"d.{key}") == F.col("f.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
     return d.join(f, same, "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -17,6 +17,8 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from quillspark.llm.storage import fresh
+
 KINDS = ("assign", "access", "hex", "random")
 LEAST_RUN = 16  # characters of a run that the token test looks at
 MOST_RATIO = 2.0  # characters a token below which a run is random
@@ -71,11 +73,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def random_spans(text: str, base: list[tuple[int, int, int]], path: str) -> list[tuple[int, int, int]]:
     found = []
-    ends = sorted((s, e) for s, _, e in base)
+    starts, reach = sorted(s for s, _, _ in base), []
+    for _, _, e in sorted(base):
+        reach.append(max(e, reach[-1] if reach else 0))  # how far the spans up to here go
     for m in _RUN.finditer(text):
         run = m[0]
-        i = bisect_left(ends, (m.end(),))
-        if any(e > m.start() for _, e in ends[max(0, i - 3) : i]):
+        before = bisect_left(starts, m.end())
+        if before and reach[before - 1] > m.start():
             continue
         counted = run if re.search("[A-Za-z]", run) else re.sub("[^0-9]", "", run)
         if len(counted) >= MOST_RATIO * len(vocabulary(path).encode_ordinary(counted)):
@@ -92,10 +96,11 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 def find_secrets(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``secrets``, an array of (kind, start, end), instead of the text; ``path``: the vocabulary.
 
-    Null texts count as empty and, as texts without secrets, get an empty array. Repeated rows each keep theirs.
+    Null texts count as empty and, as texts without secrets, get an empty array. Repeated rows each keep theirs. Whole texts are
+    read, one at a time, however long. All other columns stay, whatever their names; one named ``secrets`` is replaced.
     """
     kept = [c for c in docs.columns if c.lower() not in {"secrets", text.lower()}]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(fresh("text", docs)))
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("secrets", T.DataType.fromDDL(
         "array<struct<kind:string,start:bigint,end:bigint>>"))])

@@ -16,7 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillspark.llm.storage import written
+from quillspark.llm.storage import discarded, written
 
 BITS, STEP = 60, 12
 TOLERANCE = 0.01
@@ -102,7 +102,7 @@ def splitters(keys: DataFrame, shards: int, bucket_bytes: int = BUCKET_BYTES) ->
 
 
 def _bucketed(df: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
-    """With __bucket, the number of ``cuts`` at or before a row's key. The cuts are broadcast by the first bits of the key."""
+    """``df`` (with h and d) with bucket, the number of ``cuts`` at or before a row's key. The cuts are broadcast by the first bits of the key."""
     bits = min(20, max(STEP, len(cuts).bit_length() + 2))
     inner: dict[int, list] = {}
     for c in cuts:
@@ -111,31 +111,35 @@ def _bucketed(df: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
     for b in range(1 << bits):
         table.append((b, base, inner.get(b, [])))
         base += len(inner.get(b, []))
-    lookup = df.sparkSession.createDataFrame(table, "__bin long, __base int, __inner array<struct<h:long,d:long>>")
-    passed = F.filter("__inner", lambda c: (c["h"] < F.col("__h")) | ((c["h"] == F.col("__h")) & (c["d"] <= F.col("__d"))))
-    joined = df.withColumn("__bin", F.shiftright("__h", BITS - bits)).join(F.broadcast(lookup), "__bin")
-    return joined.withColumn("__bucket", F.col("__base") + F.size(passed)).drop("__bin", "__base", "__inner")
+    lookup = df.sparkSession.createDataFrame(table, "bin long, base int, inner array<struct<h:long,d:long>>")
+    passed = F.filter("inner", lambda c: (c["h"] < F.col("h")) | ((c["h"] == F.col("h")) & (c["d"] <= F.col("d"))))
+    joined = df.withColumn("bin", F.shiftright("h", BITS - bits)).join(F.broadcast(lookup), "bin")
+    return joined.withColumn("bucket", F.col("base") + F.size(passed)).drop("bin", "base", "inner")
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` (with doc_id) with size, shard and slot; columns of those names are replaced. Law: near equal bytes.
 
     Null texts have size 1 and group with empty ones. Rows that agree in text and id stay together. Equal texts share a
-    shard unless a shard's end falls inside their group. An empty table gives an empty result.
+    shard unless a shard's end falls inside their group. All other columns stay, whatever their names. An empty table gives
+    an empty result.
     """
-    kept = [c for c in docs.columns if c.lower() not in {"size", "shard", "slot"} and not c.startswith("__")]
-    body = F.col(f"`{text}`")
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], key60(body).alias("__h"), key60(F.col("doc_id")).alias("__d"), byte_size(body).alias("size"))
-    keys = written(keyed.select("__h", "__d", "size"), "shard-keys")
-    shard_cuts, cuts = splitters(keys.select(F.col("__h").alias("h"), F.col("__d").alias("d"), "size"), shards, bucket_bytes)
-    counts = dict(_bucketed(keys, cuts).groupBy("__bucket").count().collect())
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c.lower(): o for c, o in zip(docs.columns, own, strict=True)}
+    body = F.col(at[text.lower()])
+    keyed = docs.toDF(*own).withColumns({"h": key60(body), "d": key60(F.col(at["doc_id"])), "size": byte_size(body)})
+    keys = written(keyed.select("h", "d", "size"), "shard-keys")
+    shard_cuts, cuts = splitters(keys, shards, bucket_bytes)
+    counts = dict(_bucketed(keys, cuts).groupBy("bucket").count().collect())
+    discarded(keys)
     places, slot, before = [], 0, -1
     for bucket in range(len(cuts) + 1):
         shard = sum(c <= cuts[bucket - 1] for c in shard_cuts) if bucket else 0
         slot = 0 if shard != before else slot
         places.append((bucket, shard, slot))
         slot, before = slot + counts.get(bucket, 0), shard
-    places = docs.sparkSession.createDataFrame(places, "__bucket int, shard int, __first long")
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy("__h", "__d")) - 1
-    return _bucketed(keyed, cuts).withColumn("__inside", inside).join(F.broadcast(places), "__bucket").select(
-        *[F.col(f"`{c}`") for c in kept], "size", "shard", (F.col("__first") + F.col("__inside")).cast("long").alias("slot"))
+    places = docs.sparkSession.createDataFrame(places, "bucket int, shard int, first long")
+    inside = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "d")) - 1
+    kept = [F.col(at[c.lower()]).alias(c) for c in docs.columns if c.lower() not in {"size", "shard", "slot"}]
+    return _bucketed(keyed, cuts).withColumn("inside", inside).join(F.broadcast(places), "bucket").select(
+        *kept, "size", "shard", (F.col("first") + F.col("inside")).cast("long").alias("slot"))

@@ -59,6 +59,13 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def fresh_prefix(df: DataFrame, prefix: str = "x_") -> str:
+    """``prefix``, lengthened until no column of ``df`` begins with it."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "x" + prefix
+    return prefix
+
+
 def small_enough(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is. ``df`` should be a written table."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quillspark.llm.kernels import IS_LETTER, segments, word_hashes
+from quillspark.llm.storage import fresh
 
 POSITIVES, UNLABELLED = 3000, 12000  # most rows of the training sample
 MOST_WORDS = 20_000  # of the model
@@ -39,7 +40,23 @@ def document_words(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray
         yield np.unique(h[a:b])
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray, float]:
+def risk(p, u, w: np.ndarray, b: float, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Risk on positives, risk on clean texts as estimated, and the slopes of both by (w, b).
+
+    p, u: (n, rows, words) of the positive and the unlabelled texts, one entry for each word that a text holds.
+    """
+    def parts(sets, sign):
+        n, rows, words = sets
+        z = sign * (np.bincount(rows, weights=w[words], minlength=n) + b)
+        by_row = -sign / (1 + np.exp(z)) / n
+        return np.logaddexp(0, -z).mean(), np.append(np.bincount(words, weights=by_row[rows], minlength=len(w)), by_row.sum())
+
+    with np.errstate(over="ignore"):
+        (hit, d_hit), (p_clean, d_p), (u_clean, d_u) = parts(p, 1), parts(p, -1), parts(u, -1)
+    return prior * hit, u_clean - prior * p_clean, prior * d_hit, d_u - prior * d_p
+
+
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most_words: int = MOST_WORDS) -> tuple[np.ndarray, np.ndarray, float]:
     """(sorted word hashes, their weights, bias) from word sets. Without positives, unlabelled texts or a prior: a bias of -inf."""
     none = np.zeros(0, dtype=np.uint64), np.zeros(0), -np.inf
     if not positive or not unlabelled or prior <= 0:
@@ -51,31 +68,22 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     count_u = np.bincount(np.searchsorted(words, flat_u[np.isin(flat_u, words)]), minlength=len(words))
     share = (count_p + count_u + 1) / (n_p + n_u + 2)
     z = (count_p / n_p - count_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
-    chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:MOST_WORDS])
+    chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:most_words])
     words = words[chosen[np.abs(z[chosen]) >= LEAST_Z]]
 
-    def table(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def table(sets: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
         rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         flat = np.concatenate(sets)
         known = np.isin(flat, words)
-        return rows[known], np.searchsorted(words, flat[known])
+        return len(sets), rows[known], np.searchsorted(words, flat[known])
 
     p, u = table(positive), table(unlabelled)
     w, b = np.zeros(len(words)), -1.0
     moments = [np.zeros(len(words) + 1), np.zeros(len(words) + 1)]
 
-    def margin(at, n):
-        return np.bincount(at[0], weights=w[at[1]], minlength=n) + b
-
-    def slope(at, by_row):
-        return np.append(np.bincount(at[1], weights=by_row[at[0]], minlength=len(words)), by_row.sum())
-
     for step in range(1, STEPS + 1):
-        z_p, z_u = margin(p, n_p), margin(u, n_u)
-        s_p, s_u = 1 / (1 + np.exp(-z_p)), 1 / (1 + np.exp(-z_u))
-        clean = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-        toward = slope(u, s_u) / n_u - prior * slope(p, s_p) / n_p
-        g = prior * slope(p, s_p - 1) / n_p + toward if clean >= 0 else -toward
+        _, clean, toward_hits, toward = risk(p, u, w, b, prior)
+        g = toward_hits + toward if clean >= 0 else -toward
         g[:-1] += DECAY * w
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.999 * moments[1] + 0.001 * g * g
@@ -84,19 +92,22 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return words, w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", held_out: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", held_out: int = 0, positives: int = POSITIVES, unlabelled: int = UNLABELLED,
+        most_words: int = MOST_WORDS) -> tuple[np.ndarray, np.ndarray, float]:
     """The model from the documents and labels outside fold ``held_out``. A document labelled twice is toxic if any label says so.
 
-    The prior is the toxic share of the labelled documents. Sample sizes are bounded by ``POSITIVES`` and ``UNLABELLED``.
+    The prior is the toxic share of all labelled documents. The model is fitted, in one task, on a sample: at most
+    ``positives`` confirmed toxic documents and ``unlabelled`` others, chosen by a hash of the id, and at most ``most_words``
+    words. What it judges is every document. Without labels, positives or a prior nothing is toxic. Null ids take no part.
     """
     known = labels.where((fold(F.col("doc_id")) != held_out) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     facts = known.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()
     prior = facts[0] or 0.0
-    some = known.where("toxic > 0").select("doc_id", F.lit(True).alias("positive")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES)
+    some = known.where("toxic > 0").select("doc_id", F.lit(True).alias("positive")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
     every = docs.where((fold(F.col("doc_id")) != held_out) & F.col("doc_id").isNotNull()).select("doc_id", F.lit(False).alias("positive"))
-    every = every.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(UNLABELLED)
-    chosen = some.unionByName(every).distinct()  # at most POSITIVES + UNLABELLED rows
+    every = every.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled)
+    chosen = some.unionByName(every).distinct()  # at most positives + unlabelled rows
     sample = docs.select("doc_id", F.col(f"`{text}`").alias("__text")).join(F.broadcast(chosen), "doc_id")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", held_out: int =
             for yes, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 (positive if yes else unlabelled)[packed] = None  # copies count once
         unpack = [[np.frombuffer(x, dtype=np.uint64) for x in sorted(d)] for d in (positive, unlabelled)]
-        hashes, weights, bias = train(*unpack, prior)
+        hashes, weights, bias = train(*unpack, prior, most_words)
         yield pa.RecordBatch.from_arrays([pa.array([hashes.tobytes()]), pa.array([weights.tobytes()]), pa.array([bias])], names=["h", "w", "b"])
 
     packed = sample.select("positive", "__text").mapInArrow(words, "positive boolean, words binary")
@@ -127,11 +138,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
 
     ``prefix`` goes before the new names.
 
-    Null and empty texts get the score of the bias alone; the text is all that a score reads. Repeated rows score alike.
+    Null and empty texts get the score of the bias alone; the text, whole however long, is all that a score reads. Repeated
+    rows score alike; an empty table gives an empty one. All other columns stay, whatever their names.
     """
     words, weights, bias = model
-    kept = [c for c in docs.columns if c.lower() not in {prefix + "score", prefix + "predicted"}]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    kept = [c for c in docs.columns if c.lower() not in {(prefix + "score").lower(), (prefix + "predicted").lower()}]
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(fresh("text", docs)))
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(prefix + "score", T.DoubleType())])
     maybe = np.zeros(1 << 16, dtype=bool)
     maybe[words & np.uint64(0xFFFF)] = True
