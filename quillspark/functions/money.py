@@ -30,13 +30,25 @@ def date_value(value: Column) -> Column:
     return F.try_to_date(date_text(value), "yyyy-MM-dd")
 
 
+def _number(value: Column) -> Column:
+    """A plain number, exactly; null for all else."""
+    return F.when(trimmed(value).rlike(flagged(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\z")), trimmed(value)).try_cast(EXACT)
+
+
 def percent(value: Column) -> Column:
-    """``9%`` as ``0.09``; other texts as they are; null if empty."""
-    number = F.regexp_extract(value, r"^(.*)%$", 1).try_cast("double")
-    return F.when(value == "", None).when(value.endswith("%") & number.isNotNull(), F.format_string("%.2f", number / 100)).otherwise(value)
+    """``9%`` as ``0.09``, half to even; other texts as they are; null if empty."""
+    number = _number(F.regexp_extract(value, r"^(.*)%$", 1))
+    share = F.bround((number / 100).cast(EXACT), 2).cast("decimal(38,2)").cast("string")
+    return F.when(value == "", None).when(value.endswith("%") & share.isNotNull(), share).otherwise(value)
 
 
 def two_decimals(value: Column) -> Column:
-    """A number with two decimals; other texts as they are; null if empty."""
-    number = value.try_cast("double")
-    return F.when(value == "", None).when(number.isNotNull(), F.format_string("%.2f", number)).otherwise(value)
+    """A number with two decimals, half to even; other texts as they are; null if empty."""
+    number = F.bround(_number(value), 2).cast("decimal(38,2)").cast("string")
+    return F.when(value == "", None).when(number.isNotNull(), number).otherwise(value)
+
+
+def ratio(part: Column, whole: Column) -> Column:
+    """part / whole of two amounts with two decimals, half to even; null where the whole is none."""
+    share = F.try_divide(part.try_cast(EXACT), whole.try_cast(EXACT)).cast(EXACT)
+    return F.bround(share, 2).cast("decimal(38,2)").cast("string")

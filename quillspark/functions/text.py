@@ -18,6 +18,9 @@ ROUTING_FROM = "⼦⼈⽉⽇（）"
 ROUTING_TO = "子人月日()"
 
 
+DATE_PARTS = r"(\d{4})年(\d{1,2})月(\d{1,2})日"  # a printed day
+
+
 def flagged(pattern: str, multiline: bool = False) -> str:
     return ("(?dmU)" if multiline else "(?dU)") + pattern
 

@@ -22,16 +22,53 @@ def _v4_number(host: Column) -> Column:
     return F.when(host.rlike(shape), parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3])
 
 
+# Ranges of IPv6 that are unspecified, loopback, local, multicast, documentation or reserved (mapped addresses too).
+BLOCKED_V6 = ["::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10", "fec0::/10",
+              "ff00::/8", "::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6"]
+
+
+def _v6_digits(inside: Column) -> Column:
+    """The 32 hex digits of an IPv6 address; null for texts that are none. A dotted end counts as its two groups."""
+    dotted = F.regexp_extract(inside, r":([0-9.]+)$", 1)
+    number = _v4_number(F.when(dotted.contains("."), dotted))
+    tail = F.lower(F.lpad(F.hex(number), 8, "0"))
+    plain = F.when(dotted.contains("."), F.concat(F.regexp_replace(inside, r"[0-9.]+$", ""), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))).otherwise(inside)
+
+    def groups(side: Column) -> Column:
+        return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
+
+    halves = F.split(plain, "::", -1)
+    left, right = groups(F.get(halves, 0)), groups(F.coalesce(F.get(halves, 1), F.lit("")))
+    missing = 8 - F.size(left) - F.size(right)
+    fits = F.when(F.size(halves) == 1, missing == 0).otherwise((F.size(halves) == 2) & (missing > 0))
+    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)).cast("int")), right)
+    shaped = fits & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    return F.when(shaped, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def _in_v6(digits: Column, net: ipaddress.IPv6Network) -> Column:
+    first, last = (format(int(net[i]), "032x") for i in (0, -1))
+    return digits.between(first, last)
+
+
 def blocked_host(host: Column) -> Column:
+    """Local names, blocked addresses, and hosts that only look like addresses: malformed ones and numeric shorthand."""
     name = F.regexp_replace(F.lower(host), r"\.+$", "")
+
+    def blocked_v4(number: Column) -> Column:
+        out = F.lit(False)
+        for net in map(ipaddress.ip_network, BLOCKED_V4):
+            out = out | number.between(int(net[0]), int(net[-1]))
+        return F.coalesce(out, F.lit(False))
+
     number = _v4_number(name)
-    blocked = F.lit(False)
-    for net in map(ipaddress.ip_network, BLOCKED_V4):
-        blocked = blocked | number.between(int(net[0]), int(net[-1]))
-    v6 = F.regexp_extract(name, r"^\[(.*)\]$", 1)
-    # Unspecified, loopback, unique local, link-local, multicast, documentation and mapped addresses.
-    local_v6 = v6.rlike(r"^(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*|2001:0?db8:.*|::ffff:.*)$")
-    return (name == "localhost") | name.endswith(".localhost") | F.coalesce(blocked, F.lit(False)) | ((v6 != "") & local_v6)
+    shorthand = name.rlike(r"^(0x[0-9a-f]*|[0-9]+)(\.(0x[0-9a-f]*|[0-9]+))*$") & number.isNull()
+    digits = _v6_digits(F.regexp_replace(F.regexp_extract(name, r"^\[(.*)\]$", 1), r"%.*$", ""))
+    local = F.lit(False)
+    for net in map(ipaddress.ip_network, BLOCKED_V6):
+        local = local | _in_v6(digits, net)
+    bad_v6 = digits.isNull() | local
+    return (name == "localhost") | name.endswith(".localhost") | blocked_v4(number) | shorthand | (name.startswith("[") & bad_v6)
 
 
 def url_allowed(url: Column, allow_http: bool = False) -> Column:

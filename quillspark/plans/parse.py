@@ -16,17 +16,17 @@ from quillspark.operators.air import air_from_fields, air_from_text, is_air_fiel
 from quillspark.operators.invoice_fields import invoice_code, invoice_number, issue_date, issuer, parties, price_and_tax, totals
 from quillspark.operators.invoice_items import items
 from quillspark.operators.normalizing import normalized
-from quillspark.operators.payloads import metadata_record, qr_record
+from quillspark.operators.payloads import lines_text, metadata_record, ocr_answer_text, qr_record
 from quillspark.operators.rail import rail
 from quillspark.operators.records import party, raw
 from quillspark.operators.routing import layout, looks_like_invoice, too_short, unusable_text
 from quillspark.schemas import ENGINE, ERROR, EXIT_CODE, HTTP_STATUS, MAX_BYTES, OCR_MODES
-from quillspark.sources.documents import hinted_format, open_bytes, provided, sniffed_format
+from quillspark.sources.documents import container_images, hinted_format, open_bytes, provided, sniffed_format, with_metadata
 
 _OPTIONAL = {
     "index": "long", "filename": "string", "hint_type": "string", "ocr_mode": "string", "format": "string", "text": "string", "qr_payload": "string",
     "ocr_text": "string", "fields": "map<string,string>", "container_text": "string", "image_text": "string", "metadata": "map<string,string>",
-    "broken_container": "boolean"}
+    "broken_container": "boolean", "ocr_lines": "array<struct<text:string>>", "ocr_payload": "string", "n_images": "int"}
 # Words that tell a container with an invoice.
 CONTAINER_MARKERS = ["电子发票", "普通发票", "专用发票", "发票号码", "InvoiceNumber", "InvoiceCode", "TotalTax-includedAmount"]
 # Messages are ours; callers act on codes.
@@ -35,7 +35,7 @@ MESSAGES = {
     "hint": "hint_type must be pdf, ofd, image or auto", "format": "the format is not known", "no_ocr": "OCR is needed but no OCR is configured",
     "ocr_off": "OCR is needed but this call disables it", "broken": "the container cannot be opened", "ofd_invoice": "an OFD invoice is recognised but not read",
     "ofd_other": "only air itineraries are read from OFD", "short": "too little text was recognised", "layout": "no layout fits the text",
-    "qr": "the QR payload has no invoice number", "unread": "rules cannot read this PDF: no usable text, metadata or QR payload, or an unknown layout"}
+    "qr": "the QR payload has no invoice number", "failed": "a function that was to read the document failed", "answer": "the answer of the OCR service has no text", "unread": "rules cannot read this PDF: no usable text, metadata or QR payload, or an unknown layout"}
 
 
 def _error(code: str, message: str, document_type: str | None = None, ocr_required: bool = False) -> Column:
@@ -97,16 +97,22 @@ def parse_documents(
 ) -> DataFrame:
     """One row a document: its own columns but the inputs, and format, layout, status, code, message, document_type, data, engine.
 
-    Inputs, all optional: content (bytes), text (its text layer), qr_payload, ocr_text, fields, container_text, metadata, hint_type,
-    ocr_mode, filename, index. ``ocr_vendor`` names the OCR behind ``ocr_text``; without a name OCR counts as not configured.
-    ``text_layer``, ``qr_reader`` and ``ocr`` fill missing texts from the bytes of only those rows that reach them.
+    Inputs, all optional: content (bytes), text (its text layer), qr_payload, ocr_text, ocr_lines (array of struct with text),
+    ocr_payload (the JSON answer of an OCR service), fields, container_text, metadata, hint_type, ocr_mode, filename, index.
+    ``ocr_vendor`` names the OCR behind the texts; without a name OCR counts as not configured. ``text_layer``, ``qr_reader``
+    and ``ocr`` fill missing texts from the bytes of only those rows that reach them, ``ocr`` also from the images in
+    containers; one that raises makes its row an internal_error. An OCR answer without text is a parse_failed.
     Filters on the result are not pushed below the parsing: filter documents by their own columns before.
     """
     has_bytes = "content" in df.columns
     if has_bytes:
-        given = [c for c in ("fields", "metadata", "container_text", "broken_container") if c in df.columns]
+        given = [c for c in ("fields", "metadata", "container_text", "broken_container", "n_images") if c in df.columns]
         df = open_bytes(df.drop(*given), max_bytes)
-    df = _with_inputs(df)
+    has_answers = "ocr_payload" in df.columns
+    df = _with_inputs(df).withColumn("__failed", F.lit(None).cast("string"))
+    answered = F.col("ocr_payload").isNotNull()
+    answer = ocr_answer_text(F.col("ocr_payload")) if has_answers else F.lit(None).cast("string")
+    df = df.withColumn("ocr_text", F.coalesce("ocr_text", lines_text(F.col("ocr_lines")), answer))
     mode = F.coalesce("ocr_mode", F.lit("auto"))
     may_ocr = F.lit(ocr_vendor is not None) & (mode != "disabled")
     if has_bytes:
@@ -126,16 +132,21 @@ def parse_documents(
     df = df.withColumn("__early", early)
     alive = F.col("__early").isNull()
     if has_bytes and text_layer:
-        df = provided(df, "text", alive & (form == "pdf"), text_layer)
+        df = provided(df, "text", alive & (form == "pdf"), text_layer, "__failed")
     df = df.withColumn("__usable", (form == "pdf") & ~_once("unusable", lambda: unusable_text(F.col("text"))))
+    if has_bytes:
+        df = with_metadata(df, alive & (form == "pdf") & ~F.col("__usable"))
     has_metadata = F.coalesce(F.size("metadata") > 0, F.lit(False))
     stuck = alive & (form == "pdf") & ~F.col("__usable") & ~has_metadata
     if has_bytes and qr_reader:
-        df = provided(df, "qr_payload", stuck, qr_reader)
+        df = provided(df, "qr_payload", stuck, qr_reader, "__failed")
     has_qr = F.coalesce(F.col("qr_payload") != "", F.lit(False))
     if has_bytes and ocr:
-        df = provided(df, "ocr_text", may_ocr & (stuck & ~has_qr | alive & (form == "image")), ocr)
+        df = provided(df, "ocr_text", may_ocr & (stuck & ~has_qr | alive & (form == "image")), ocr, "__failed")
     recognised = F.coalesce(contains_any(F.concat_ws("\n", F.array_join(F.map_values("fields"), "\n"), "container_text"), CONTAINER_MARKERS), F.lit(False))
+    if has_bytes and ocr:
+        pictured = may_ocr & alive & (form == "ofd") & ~recognised & ~F.coalesce(is_air_fields(F.col("fields")), F.lit(False)) & (F.col("n_images") > 0)
+        df = provided(df, "image_text", pictured, lambda content: "\n".join(x for x in map(ocr, container_images(content)) if x), "__failed")
     recognised = recognised | (may_ocr & contains_any(F.coalesce("image_text", F.lit("")), CONTAINER_MARKERS))
     is_air = F.coalesce(is_air_fields(F.col("fields")), F.lit(False))
     via = (
@@ -147,7 +158,9 @@ def parse_documents(
     df = df.withColumn("layout", _once("layout", lambda: layout(F.col("__read"))))
     df = df.withColumn("__qr", F.when(F.col("__via") == "qr", _once("qr", lambda: qr_record(F.col("qr_payload")))))
     late = (
-        F.when(F.col("layout").isNotNull() | F.col("__via").isin("metadata", "fields"), none)
+        F.when(F.col("__failed").isNotNull(), _error("internal_error", "failed"))
+        .when((F.col("__via") == "ocr") & answered & F.col("ocr_text").isNull(), _error("parse_failed", "answer"))
+        .when(F.col("layout").isNotNull() | F.col("__via").isin("metadata", "fields"), none)
         .when(F.col("__via") == "qr", F.when(F.col("__qr.invoice_number").isNull(), _error("parse_failed", "qr")))
         .when(form == "image", F.when(mode == "disabled", _error("not_implemented", "ocr_off", None, True))
               .when(F.col("__via").isNull(), _error("not_implemented", "no_ocr", None, True))
@@ -181,7 +194,7 @@ def parse_documents(
         "status": F.when(ok, "ok").otherwise("error"), "code": code, "message": F.col("__error.message"), "engine": engine,
         "document_type": F.coalesce(F.col("data.document_type"), F.col("__error.document_type"))})
     gone = {"content", "text", "qr_payload", "ocr_text", "fields", "container_text", "image_text", "metadata", "broken_container", "is_ofd",
-            "byte_count", "ocr_mode", "hint_type", "length"}
+            "ocr_lines", "ocr_payload", "n_images", "byte_count", "ocr_mode", "hint_type", "length"}
     return df.select(*[c for c in df.columns if not c.startswith("__") and c not in gone])
 
 
