@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 SPACE = r"[\s\x1c-\x1f]"
+# The characters that Unicode classes as white space, and the separators of files, groups, records and units.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
 
 # Full-width signs and radicals that extraction reads as their usual forms.
@@ -50,7 +52,7 @@ def replaced(text: Column, pattern: str, by: str = "") -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?dU)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def present(text: Column) -> Column:
@@ -60,7 +62,7 @@ def present(text: Column) -> Column:
 
 def compact(text: Column) -> Column:
     """Without any white space."""
-    return F.regexp_replace(text, rf"(?U){SPACE}+", "")
+    return F.translate(text, WHITE, "")
 
 
 def lines(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from quillspark.functions.text import compact, contains_any, count_of, routing_form, trimmed
+from quillspark.functions.text import compact, contains_any, count_of, let, routing_form, trimmed
 
 # Marker words of the layouts.
 INVOICE_MARKERS = ["发票", "价税合计", "货物或应税劳务", "购买方", "销售方", "销货方"]
@@ -12,20 +12,23 @@ AIR_TITLES = ["机票行程单", "航空运输电子客票行程单"]
 AIR_MARKERS = ["旅客姓名", "有效身份证件号码", "承运人", "航班号", "电子客票号码", "燃油附加费", "民航发展基金", "国内国际标识"]
 RAIL_MARKERS = ["电子客票", "中国铁路"]
 LEAST_TEXT = 20
+CONTROL = "".join(map(chr, range(1, 32)))  # Spark's translate takes NUL for the end of its table
 
 
 def looks_like_invoice(text: Column) -> Column:
-    return contains_any(compact(text), INVOICE_MARKERS)
+    return let(compact(text), lambda t: contains_any(t, INVOICE_MARKERS))
 
 
 def unusable_text(text: Column) -> Column:
     """True for null or short texts, few meaningful characters, or many control characters (line ends are such)."""
-    t = trimmed(F.coalesce(text, F.lit("")))
-    size = F.length(t)
-    meaningful = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}一-鿿¥￥.:：,，()（）%\-_*]", "")) / size
-    control = F.length(F.regexp_replace(t, r"[^\x00-\x1f]", "")) / size
-    return F.when(size < LEAST_TEXT, True).otherwise(
-        (meaningful < 0.35) | (control > 0.25) | (~looks_like_invoice(t) & (control > 0.1)))
+    def judged(t: Column) -> Column:
+        size = F.length(t)
+        control = size - F.length(F.translate(F.replace(t, F.lit("\0"), F.lit("")), CONTROL, ""))
+        meaningful = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}一-鿿¥￥.:：,，()（）%\-_*]+", ""))
+        return F.when(size < LEAST_TEXT, True).otherwise(
+            (control / size > 0.25) | ((control / size > 0.1) & ~looks_like_invoice(t)) | (meaningful / size < 0.35))
+
+    return let(trimmed(F.coalesce(text, F.lit(""))), judged)
 
 
 def too_short(text: Column) -> Column:
@@ -48,8 +51,6 @@ def is_general(n: Column) -> Column:
 
 def layout(text: Column) -> Column:
     """``air``, ``rail``, ``special`` or ``general``, first that fits; null if none does."""
-    n = routing_form(text)
-    return (
+    return let(routing_form(text), lambda n: (
         F.when(is_air(n), "air").when(contains_any(n, RAIL_MARKERS), "rail")
-        .when(n.contains("增值税专用发票"), "special").when(is_general(n), "general")
-    )
+        .when(n.contains("增值税专用发票"), "special").when(is_general(n), "general")))

@@ -9,6 +9,8 @@ import ipaddress
 
 from pyspark.sql import Column, functions as F
 
+from quillspark.functions.text import let
+
 # Address ranges that are private, loopback, link-local, multicast, reserved or unspecified.
 BLOCKED_V4 = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/29", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16",
               "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4"]
@@ -29,46 +31,47 @@ BLOCKED_V6 = ["::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2
 
 def _v6_digits(inside: Column) -> Column:
     """The 32 hex digits of an IPv6 address; null for texts that are none. A dotted end counts as its two groups."""
-    dotted = F.regexp_extract(inside, r":([0-9.]+)$", 1)
-    number = _v4_number(F.when(dotted.contains("."), dotted))
-    tail = F.lower(F.lpad(F.hex(number), 8, "0"))
-    plain = F.when(dotted.contains("."), F.concat(F.regexp_replace(inside, r"[0-9.]+$", ""), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))).otherwise(inside)
+    def plain(dotted: Column) -> Column:
+        tail = F.lower(F.lpad(F.hex(_v4_number(dotted)), 8, "0"))
+        ended = F.concat(F.regexp_replace(inside, r"[0-9.]+$", ""), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))
+        return F.when(dotted.contains("."), ended).otherwise(inside)
 
     def groups(side: Column) -> Column:
         return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
 
-    halves = F.split(plain, "::", -1)
-    left, right = groups(F.get(halves, 0)), groups(F.coalesce(F.get(halves, 1), F.lit("")))
-    missing = 8 - F.size(left) - F.size(right)
-    fits = F.when(F.size(halves) == 1, missing == 0).otherwise((F.size(halves) == 2) & (missing > 0))
-    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)).cast("int")), right)
-    shaped = fits & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(shaped, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+    def digits(sides: Column) -> Column:
+        missing = 8 - F.size(sides["left"]) - F.size(sides["right"])
+        fits = F.when(sides["n"] == 1, missing == 0).otherwise((sides["n"] == 2) & (missing > 0))
+        every = F.concat(sides["left"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)).cast("int")), sides["right"])
+        return let(every, lambda e: F.when(fits & F.forall(e, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(e, lambda g: F.lpad(g, 4, "0")), "")))
+
+    def halved(halves: Column) -> Column:
+        return let(F.struct(groups(F.get(halves, 0)).alias("left"), groups(F.coalesce(F.get(halves, 1), F.lit(""))).alias("right"), F.size(halves).alias("n")), digits)
+
+    return let(F.regexp_extract(inside, r":([0-9.]+)$", 1), lambda dotted: let(plain(dotted), lambda x: let(F.split(x, "::", -1), halved)))
 
 
-def _in_v6(digits: Column, net: ipaddress.IPv6Network) -> Column:
-    first, last = (format(int(net[i]), "032x") for i in (0, -1))
-    return digits.between(first, last)
+def _in_any(value: Column, ranges: list[tuple]) -> Column:
+    out = F.lit(False)
+    for first, last in ranges:
+        out = out | value.between(first, last)
+    return F.coalesce(out, F.lit(False))
 
 
 def blocked_host(host: Column) -> Column:
     """Local names, blocked addresses, and hosts that only look like addresses: malformed ones and numeric shorthand."""
-    name = F.regexp_replace(F.lower(host), r"\.+$", "")
-
-    def blocked_v4(number: Column) -> Column:
-        out = F.lit(False)
-        for net in map(ipaddress.ip_network, BLOCKED_V4):
-            out = out | number.between(int(net[0]), int(net[-1]))
-        return F.coalesce(out, F.lit(False))
-
-    number = _v4_number(name)
-    shorthand = name.rlike(r"^(0x[0-9a-f]*|[0-9]+)(\.(0x[0-9a-f]*|[0-9]+))*$") & number.isNull()
-    digits = _v6_digits(F.regexp_replace(F.regexp_extract(name, r"^\[(.*)\]$", 1), r"%.*$", ""))
-    local = F.lit(False)
-    for net in map(ipaddress.ip_network, BLOCKED_V6):
-        local = local | _in_v6(digits, net)
-    bad_v6 = digits.isNull() | local
-    return (name == "localhost") | name.endswith(".localhost") | blocked_v4(number) | shorthand | (name.startswith("[") & bad_v6)
+    nets4, nets6 = ([ipaddress.ip_network(n) for n in nets] for nets in (BLOCKED_V4, BLOCKED_V6))
+    ranges4 = [(int(n[0]), int(n[-1])) for n in nets4]
+    ranges6 = [tuple(format(int(n[i]), "032x") for i in (0, -1)) for n in nets6]
+
+    def judged(name: Column) -> Column:
+        shaped = name.rlike(r"^(0x[0-9a-f]*|[0-9]+)(\.(0x[0-9a-f]*|[0-9]+))*$")
+        inside = F.regexp_replace(F.regexp_extract(name, r"^\[(.*)\]$", 1), r"%.*$", "")
+        bad_v4 = let(_v4_number(name), lambda n: n.isNull() | _in_any(n, ranges4))
+        bad_v6 = let(inside, lambda x: let(_v6_digits(x), lambda d: d.isNull() | _in_any(d, ranges6)))
+        return (F.when(shaped, bad_v4).when(name.startswith("["), bad_v6).otherwise((name == "localhost") | name.endswith(".localhost")))
+
+    return let(F.regexp_replace(F.lower(host), r"\.+$", ""), judged)
 
 
 def url_allowed(url: Column, allow_http: bool = False) -> Column:

@@ -76,7 +76,7 @@ def _invoice_columns(df: DataFrame) -> DataFrame:
     df = df.withColumn("__filled", _once("filled", lambda: F.filter("__trimmed", lambda x: x != "")))
     t, rows, filled = F.col("__t"), F.col("__trimmed"), F.col("__filled")
     parts = {"__parties": lambda: parties(t, filled), "__totals": lambda: totals(t, filled), "__gross": lambda: price_and_tax(t, rows),
-             "__items": lambda: items(F.col("__lines"), rows)}
+             "__items": lambda: items(rows)}
     return df.withColumns({k: F.when(mine, _once(k, v)) for k, v in parts.items()})
 
 

@@ -23,7 +23,8 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_order = lines.groupBy("k").agg(F.min("s").alias("supp"), F.sum("cents").alias("net"), F.sum("tax").alias("tax"), rows.alias("rows"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cust"), F.col("o_orderdate").cast("date").alias("day"))
-    return by_order.join(orders, "k")
+    # rendering and parsing are work for all cores, however few bytes the rows have here
+    return by_order.join(orders, "k").repartition(2 * spark.sparkContext.defaultParallelism, "k")
 
 
 def number() -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.functions import udtf
 
 from quillspark.operators.payloads import answer_lines
@@ -12,7 +12,12 @@ from quillspark.plans.parse import batch_summary, parse_documents
 from quillspark.sources.documents import open_container, pdf_metadata
 
 
-@udtf(returnType="format string, broken boolean, text string, fields map<string,string>")
+_OPENED = T.StructType([T.StructField("format", T.StringType()), T.StructField("broken", T.BooleanType()), T.StructField("text", T.StringType()),
+                        T.StructField("fields", T.MapType(T.StringType(), T.StringType()))])
+_LINE = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("line", T.StringType())])
+
+
+@udtf(returnType=_OPENED)
 class OpenDocument:
     """``open_document(content)``: what a container's or a PDF's bytes hold without OCR; no row for other bytes."""
 
@@ -25,7 +30,7 @@ class OpenDocument:
             yield ("ofd" if box["is_ofd"] else "unknown"), box["broken"], box["text"], box["fields"]
 
 
-@udtf(returnType="position int, line string")
+@udtf(returnType=_LINE)
 class OcrAnswerLines:
     """``ocr_answer_lines(answer)``: the lines of an OCR service's JSON answer."""
 

@@ -5,16 +5,25 @@ Documents are rendered from orders and lines, parsed, and compared with what the
 
 from __future__ import annotations
 
+import io
+import shutil
 import tempfile
+import uuid
+import zipfile
+import zlib
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from quillspark.functions.money import date_text, money
-from quillspark.operators.comparing import line_boxes, model_summary, with_matches
+from quillspark.functions.money import date_text, money, percent
+from quillspark.operators.comparing import FIELDS, line_boxes, model_summary, with_matches
+from quillspark.operators.payloads import ocr_answer_text
+from quillspark.operators.profiles import capability_table, profile_name
 from quillspark.operators.pseudonyms import text_mentions, token_table
 from quillspark.operators.routing import layout, unusable_text
 from quillspark.operators.urls import url_allowed
 from quillspark.plans import synth
+from quillspark.plans.calibrate import calibrated, recognised
 from quillspark.plans.parse import batch_summary, http_status, parse_documents
 from quillspark.sources.documents import hinted_format, sniffed_format
 from quillspark.streaming.ingest import parse_stream
@@ -175,8 +184,9 @@ _ROUTES = ["航空运输电子客票行程单", "旅客姓名 承运人 航班
 
 
 def layout_router(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    text = F.array(*map(F.lit, _ROUTES))[(F.col("doc_id") % 8).cast("int")]
+    """Documents' whole texts with a layout's marks behind them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    text = F.concat(F.col("text"), F.lit("\n"), F.array(*map(F.lit, _ROUTES))[(F.col("doc_id") % 8).cast("int")])
     return docs.select("doc_id", layout(text).alias("layout"))
 
 
@@ -212,7 +222,7 @@ def _predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 def field_accuracy(spark, sf_dir):
     expected, guessed = _predictions(spark, sf_dir)
     m = with_matches(guessed, expected, "k")
-    return m.select("k", *[F.col(f"matches.{f}").alias(f) for f in ("invoice_number", "buyer_name", "buyer_tax_id", "invoice_code", "amount_with_tax")])
+    return m.select("k", *[F.col(f"matches.{f.replace('.', '_')}").alias(f.replace(".", "_")) for f in FIELDS])
 
 
 def model_accuracy(spark, sf_dir):
@@ -220,7 +230,7 @@ def model_accuracy(spark, sf_dir):
     m = with_matches(guessed, expected, "k").withColumns({
         "model": F.when(F.col("k") % 2 == 0, "even").otherwise("odd"), "ok": F.col("k") % 3 != 0, "parse_ok": F.col("k") % 4 != 0,
         "elapsed_seconds": (F.col("k") % 10).cast("double") / 4})
-    return model_summary(m).select("model", "total", "ok", "failed", "parse_ok", "parse_failed", "avg_elapsed_seconds", "match_invoice_number", "match_buyer_name")
+    return model_summary(m).select("model", "total", "ok", "failed", "parse_ok", "parse_failed", "avg_elapsed_seconds", *[f"match_{f.replace('.', '_')}" for f in FIELDS])
 
 
 def pseudonymize(spark, sf_dir):
@@ -232,12 +242,126 @@ def pseudonymize(spark, sf_dir):
     return token_table(mentions).where("category = 'company'").select("value", "n", "token")
 
 
+_HOSTS = ["http://8.8.8.8/", "https://10.1.2.3/a", "https://localhost/x", "https://127.0.0.1:80/", "https://[0:0:0:0:0:0:0:1]/", "ftp://a.example.com/", "https://[::1]/",
+          "https://8.8.4.4/", "https://[2001:4860::8888]/", "https://2130706433/", "https://[::ffff:10.0.0.1]/"]
+
+
 def url_allow_list(spark, sf_dir):
-    """Page addresses with hosts and schemes swapped by id."""
+    """Every page's address, and a host dealt by id."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    hosts = ["http://8.8.8.8/", "https://10.1.2.3/a", "https://localhost/x", "https://127.0.0.1:80/", "https://169.254.1.1", "ftp://a.example.com/", "https://[::1]/", "https://8.8.4.4/"]
-    url = F.when(F.col("page_id") % 9 == 8, F.col("url")).otherwise(F.array(*map(F.lit, hosts))[(F.col("page_id") % 9 % 8).cast("int")])
-    return pages.select("page_id", url_allowed(url).alias("allowed"))
+    host = F.array(*map(F.lit, _HOSTS))[(F.col("page_id") % len(_HOSTS)).cast("int")]
+    return pages.select("page_id", url_allowed(F.col("url")).alias("allowed"), url_allowed(host).alias("host_allowed"))
+
+
+def rate_ties(spark, sf_dir):
+    """Rates of a tenth of a percent, many of them ties, as shares of two decimals."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 1000).alias("r"))
+    rate = F.concat(F.floor(F.col("r") / 10).cast("string"), F.lit("."), (F.col("r") % 10).cast("string"), F.lit("%"))
+    return lines.select("l_orderkey", "l_linenumber", rate.alias("rate"), percent(rate).alias("share"))
+
+
+def ocr_answers(spark, sf_dir):
+    """Orders as the answers of OCR services, in six shapes."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("string").alias("c"))
+    key = F.col("k").cast("string")
+    shapes = [
+        F.concat(F.lit('{"text": " 号码 '), key, F.lit(' \\n\\n客户 '), F.col("c"), F.lit('"}')),
+        F.concat(F.lit('{"lines": [{"text": " 号码 '), key, F.lit('", "score": 0.9}, 7, {"text": ""}, {"text": "客户 '), F.col("c"), F.lit('"}]}')),
+        F.concat(F.lit('{"Response": {"MixedInvoiceItems": [{"Name": "号码", "Value": "'), key, F.lit('"}, {"OcrText": "客户 '), F.col("c"), F.lit('"}]}}')),
+        F.concat(F.lit('{"SingleInvoiceInfos": [{"号码": "'), key, F.lit('", "x": {"Name": "客户", "Value": "'), F.col("c"), F.lit('"}}]}')),
+        F.concat(F.lit('{"Response": {"a": [{"b": {"name": "'), key, F.lit('"}}, {"Value": "'), F.col("c"), F.lit('"}]}}')),
+        F.lit('{"lines": 3}')]
+    answer = F.when(F.col("k") % 7 == 6, F.lit("no json")).otherwise(F.array(*shapes)[(F.col("k") % 7 % 6).cast("int")])
+    return o.select("k", ocr_answer_text(answer).alias("text"))
+
+
+def model_profiles(spark, sf_dir):
+    """Profiles meant by names dealt by id."""
+    names = ["default", " doc ", "invoice", "scene-lite", "none such", "", "mobile-lite"]
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    return c.select("c_custkey", profile_name(F.array(*map(F.lit, names))[(F.col("c_custkey") % 7).cast("int")]).alias("profile"))
+
+
+def capability_rows(spark, sf_dir):
+    return capability_table(spark, "fake")
+
+
+def parse_key_values(spark, sf_dir):
+    """Itineraries recognised as lines of keys and values."""
+    i = synth.invoices(spark, sf_dir)
+    text = F.concat_ws("\n", F.lit("航空运输电子客票行程单"), F.concat(F.lit("发票号码: "), synth.number()), F.lit("旅客姓名: 王五"), F.concat(F.lit("航班号: CA"), F.col("k").cast("string")),
+                       F.lit("承运人: 某航"), F.concat(F.lit("日期: "), synth.day_text()), F.lit("时间: 09:30"), F.concat(F.lit("票价: "), synth.cents_text(F.col("net"))),
+                       F.concat(F.lit("合计: "), synth.cents_text(F.col("net") + F.col("tax"))), F.lit("税率: 12.5%"), F.lit("签注: 不得退票"))
+    parsed = parse_documents(i.select("k", text.alias("ocr_text"), F.lit("image").alias("format")), ocr_vendor="fake")
+    a = F.col("data.extra.air_itinerary")
+    return parsed.select("k", F.col("data.invoice_number").alias("invoice_number"), F.col("data.amount_with_tax").alias("gross"), F.col("data.remark").alias("remark"),
+                         *[a[f].alias(f) for f in ("passenger_name", "flight_no", "carrier", "depart_time", "fare", "tax_rate")])
+
+
+@F.pandas_udf(T.BinaryType())
+def _as_ofd(number: pd.Series, total: pd.Series) -> pd.Series:
+    """Containers with the fields of an itinerary; every seventh is cut off in the middle."""
+    def one(number: str, total: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("OFD.xml", "<o/>")
+            z.writestr("Doc_0/Attachs/atr_0.xml", f"<r><ElectronicInvoiceAirTransportReceiptNumber>{number}</ElectronicInvoiceAirTransportReceiptNumber><a><TotalAmount> {total} </TotalAmount></a></r>")
+        return out.getvalue()
+
+    made = [one(*x) for x in zip(number, total, strict=True)]
+    return pd.Series([m[: len(m) // 2] if int(n[2:14]) % 7 == 0 else m for n, m in zip(number, made, strict=True)])
+
+
+@F.pandas_udf(T.BinaryType())
+def _as_pdf(number: pd.Series, total: pd.Series) -> pd.Series:
+    """PDFs whose metadata stand in a deflated stream."""
+    bodies = [zlib.compress(f"x /InvoiceNumber({n}) /TotalTax-includedAmount({t})".encode()) for n, t in zip(number, total, strict=True)]
+    return pd.Series([b"%PDF-1.7\n1 0 obj\n<< /Length 9 /Filter /FlateDecode >>\nstream\n" + b + b"\nendstream\nendobj" for b in bodies])
+
+
+def parse_bytes(spark, sf_dir):
+    """Orders as files: containers, broken ones, and PDFs with metadata, by key."""
+    i = synth.invoices(spark, sf_dir)
+    total = synth.cents_text(F.col("net") + F.col("tax"))
+    content = F.when(F.col("k") % 2 == 0, _as_pdf(synth.number(), total)).otherwise(_as_ofd(synth.number(), total))
+    parsed = parse_documents(i.select("k", content.alias("content")))
+    return parsed.select("k", "format", "code", F.col("data.document_type").alias("document_type"), F.col("data.invoice_number").alias("invoice_number"),
+                         F.col("data.amount_with_tax").alias("gross"))
+
+
+def _text_of(content: bytes) -> str:
+    """A text layer that fails for every third file."""
+    key = int(content[6:])
+    if key % 3 == 0:
+        raise RuntimeError("unreadable")
+    return f"a readable text of no layout at all, {key}"
+
+
+def failing_functions(spark, sf_dir):
+    """Files whose text layer cannot be read: errors of their rows."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
+    docs = o.select("k", F.concat(F.lit("%PDF-\n"), F.col("k").cast("string")).cast("binary").alias("content"))
+    parsed = parse_documents(docs, text_layer=_text_of)
+    return parsed.select("k", "status", "code", http_status(F.col("code")).alias("http_status"))
+
+
+def _reader(share: int):
+    def read(content: bytes) -> str:
+        text = content.decode()
+        if len(text) % share == 0:
+            raise ValueError("blurred")
+        return text
+
+    return lambda: read
+
+
+def calibration(spark, sf_dir):
+    """Two models that read rail tickets given as bytes; one fails on texts of some lengths, one never."""
+    docs = synth.rendered(spark, sf_dir, "rail").select(F.col("k").cast("string").alias("stem"), F.col("text").cast("binary").alias("content"))
+    read = recognised(docs, "never", _reader(10**9)).unionByName(recognised(docs, "some", _reader(2)))
+    expected = calibrated(recognised(docs, "right", _reader(10**9))).select("stem", "data")
+    return model_summary(calibrated(read, expected)).select("model", "total", (F.col("ok") + F.col("failed")).alias("all_read"), (F.col("ok") - F.col("parse_ok")).alias("lost"),
+                                                            (F.col("match_invoice_number") - F.col("parse_ok")).alias("wrong_numbers"), (F.col("failed") > 0).alias("some_failed"))
 
 
 def glyph_line_boxes(spark, sf_dir):
@@ -250,21 +374,29 @@ def glyph_line_boxes(spark, sf_dir):
 
 
 def stream_batch_equivalence(spark, sf_dir):
-    """Texts parsed as a stream of files and as a batch; one row with both counts and their agreement."""
-    folder = tempfile.mkdtemp(prefix="quillspark-stream-") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/stream"
+    """Texts parsed as a stream of files and as a batch; one row with both counts and their agreement. Its files go when it ends."""
+    local = spark.sparkContext.master.startswith("local[")
+    folder = tempfile.mkdtemp(prefix="quillspark-stream-") if local else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{uuid.uuid4().hex}"
     docs = synth.rendered(spark, sf_dir, "special")
-    docs.write.mode("overwrite").parquet(f"{folder}/in")
+    docs.write.parquet(f"{folder}/in")
     batch = parse_documents(spark.read.parquet(f"{folder}/in")).select("k", "status", "data.invoice_number", "data.amount_with_tax")
     parse_stream(spark.readStream.schema("k long, text string").parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     stream = spark.read.parquet(f"{folder}/out").select("k", "status", "data.invoice_number", "data.amount_with_tax")
-    return batch.exceptAll(stream).agg(F.count("*").alias("only_batch")).crossJoin(stream.exceptAll(batch).agg(F.count("*").alias("only_stream"))).crossJoin(
-        stream.agg(F.count("*").alias("n")))
+    counts = [x.count() for x in (batch.exceptAll(stream), stream.exceptAll(batch), stream)]
+    if local:
+        shutil.rmtree(folder, ignore_errors=True)
+    else:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return spark.createDataFrame([tuple(counts)], "only_batch long, only_stream long, n long")
 
 
 QUERIES = [
     parse_general_fields, parse_tax_free, parse_special, parse_stacked_layout, parse_toll, parse_items_exploded, parse_rail, parse_air_text, parse_air_fields,
     parse_qr, parse_metadata, money_normalize, date_normalize, detect_format, quality_gate, layout_router, envelope_errors, batch_totals, field_accuracy,
-    model_accuracy, pseudonymize, url_allow_list, glyph_line_boxes, stream_batch_equivalence]
+    model_accuracy, pseudonymize, url_allow_list, glyph_line_boxes, stream_batch_equivalence, rate_ties, ocr_answers, model_profiles, capability_rows,
+    parse_key_values, parse_bytes, failing_functions, calibration]
+_MATCHES = [f.replace(".", "_") for f in FIELDS]
 
 _ROUTED = "CASE doc_id % 8 WHEN 0 THEN 'air' WHEN 1 THEN 'air' WHEN 2 THEN 'rail' WHEN 3 THEN 'special' WHEN 4 THEN 'general' WHEN 5 THEN 'general' END"
 _CODE = """CASE k % 8 WHEN 1 THEN 'not_implemented' WHEN 2 THEN 'not_implemented' WHEN 3 THEN 'unsupported_format' WHEN 4 THEN 'unsupported_format'
@@ -309,16 +441,39 @@ SQL = {
       CAST(CASE k % 8 WHEN 0 THEN 200 WHEN 1 THEN 501 WHEN 2 THEN 501 WHEN 3 THEN 415 WHEN 4 THEN 415 WHEN 5 THEN 400 ELSE 422 END AS INT) AS http_status,
       CASE k % 8 WHEN 0 THEN 'pdf-fapiao' WHEN 2 THEN 'ofd-fapiao' WHEN 6 THEN 'pdf-fapiao' END AS document_type, k % 8 IN (1, 6) AS ocr_required FROM b""",
     "batch_totals": BASE + "SELECT count(*) AS total, count(*) FILTER (WHERE k % 8 = 0) AS succeeded, count(*) FILTER (WHERE k % 8 <> 0) AS failed FROM b",
-    "field_accuracy": BASE + """SELECT k, k % 5 <> 0 AS invoice_number, k % 7 <> 0 AS buyer_name, true AS buyer_tax_id, true AS invoice_code,
-      true AS amount_with_tax FROM b""",
+    "field_accuracy": BASE + "SELECT k, " + ", ".join(
+        {"invoice_number": "k % 5 <> 0 AS invoice_number", "buyer_name": "k % 7 <> 0 AS buyer_name"}.get(f, f"true AS {f}") for f in _MATCHES) + " FROM b",
     "model_accuracy": BASE + """SELECT CASE WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END AS model, count(*) AS total, count(*) FILTER (WHERE k % 3 <> 0) AS ok,
       count(*) FILTER (WHERE k % 3 = 0) AS failed, count(*) FILTER (WHERE k % 3 <> 0 AND k % 4 <> 0) AS parse_ok,
       count(*) FILTER (WHERE k % 3 <> 0 AND k % 4 = 0) AS parse_failed, round(avg((k % 10) / 4.0), 3) AS avg_elapsed_seconds,
-      count(*) FILTER (WHERE k % 3 <> 0 AND k % 4 <> 0 AND k % 5 <> 0) AS match_invoice_number,
-      count(*) FILTER (WHERE k % 3 <> 0 AND k % 4 <> 0 AND k % 7 <> 0) AS match_buyer_name FROM b GROUP BY 1""",
+      """ + ", ".join(f"count(*) FILTER (WHERE k % 3 <> 0 AND k % 4 <> 0{ {'invoice_number': ' AND k % 5 <> 0', 'buyer_name': ' AND k % 7 <> 0'}.get(f, '')}) AS match_{f}"
+                      for f in _MATCHES) + " FROM b GROUP BY 1",
     "pseudonymize": """WITH f AS (SELECT o_custkey AS c, min(o_orderkey) AS k FROM orders GROUP BY 1), n AS (SELECT c, row_number() OVER (ORDER BY k) AS n FROM f)
       SELECT '客户' || c || '科技有限公司' AS value, n, '脱敏主体' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END || '有限公司' AS token FROM n""",
-    "url_allow_list": "SELECT page_id, CASE WHEN page_id % 9 = 8 THEN starts_with(url, 'https://') ELSE page_id % 9 = 7 END AS allowed FROM pages",
+    "url_allow_list": "SELECT page_id, coalesce(starts_with(url, 'https://'), false) AS allowed, page_id % 11 IN (7, 8) AS host_allowed FROM pages",
+    "rate_ties": """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey % 1000 AS r FROM lineitem),
+      c AS (SELECT *, r // 10 + CASE WHEN r % 10 > 5 OR (r % 10 = 5 AND (r // 10) % 2 = 1) THEN 1 ELSE 0 END AS c FROM r)
+      SELECT l_orderkey, l_linenumber, (r // 10) || '.' || (r % 10) || '%' AS rate, (c // 100) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS share FROM c""",
+    "ocr_answers": """SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN '号码 ' || o_orderkey || chr(10) || '客户 ' || o_custkey WHEN 1 THEN '号码 ' || o_orderkey || chr(10) || '客户 ' || o_custkey
+      WHEN 2 THEN '号码: ' || o_orderkey || chr(10) || '客户 ' || o_custkey WHEN 3 THEN '号码: ' || o_orderkey || chr(10) || '客户: ' || o_custkey
+      WHEN 4 THEN o_orderkey || chr(10) || o_custkey END AS text FROM orders""",
+    "model_profiles": """SELECT c_custkey, CASE c_custkey % 7 WHEN 3 THEN 'scene-lite' WHEN 4 THEN NULL WHEN 6 THEN 'mobile-lite' ELSE 'invoice-lite' END AS profile FROM customer""",
+    "capability_rows": """SELECT * FROM (VALUES ('format', 'pdf', 'supported'), ('format', 'ofd', 'partial_supported'), ('format', 'image', 'supported'),
+      ('document_type', 'pdf-fapiao', 'supported'), ('document_type', 'pdf-rail-12306', 'supported'), ('document_type', 'ofd-air-itinerary', 'supported'),
+      ('document_type', 'image-air-itinerary', 'supported'), ('document_type', 'ofd-fapiao', 'supported'), ('document_type', 'image-fapiao', 'supported'),
+      ('invoice_type', 'digital_general', 'supported'), ('invoice_type', 'digital_special', 'supported'), ('invoice_type', 'rail_12306', 'supported'),
+      ('invoice_type', 'air_itinerary', 'supported'), ('ocr_mode', 'auto', 'supported'), ('ocr_mode', 'disabled', 'supported'), ('ocr_mode', 'required', 'supported')
+      ) AS t(kind, name, status)""",
+    "parse_key_values": BASE + f"""SELECT k, number AS invoice_number, {_cents('net + tax')} AS gross, '不得退票' AS remark, '王五' AS passenger_name, 'CA' || k AS flight_no,
+      '某航' AS carrier, issued || ' 09:30:00' AS depart_time, {_cents('net')} AS fare, '0.12' AS tax_rate FROM b""",
+    "parse_bytes": BASE + f"""SELECT k, CASE WHEN k % 2 = 0 THEN 'pdf' WHEN k % 7 = 0 THEN 'unknown' ELSE 'ofd' END AS format,
+      CASE WHEN k % 2 = 1 AND k % 7 = 0 THEN 'unsupported_format' END AS code,
+      CASE WHEN k % 2 = 0 THEN 'pdf-fapiao' WHEN k % 7 <> 0 THEN 'ofd-air-itinerary' END AS document_type,
+      CASE WHEN k % 2 = 0 OR k % 7 <> 0 THEN number END AS invoice_number, CASE WHEN k % 2 = 0 OR k % 7 <> 0 THEN {_cents('net + tax')} END AS gross FROM b""",
+    "failing_functions": """SELECT o_orderkey AS k, 'error' AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'internal_error' ELSE 'parse_failed' END AS code,
+      CAST(CASE WHEN o_orderkey % 3 = 0 THEN 500 ELSE 422 END AS INT) AS http_status FROM orders""",
+    "calibration": BASE + """SELECT model, count(*) AS total, count(*) AS all_read, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS wrong_numbers, model = 'some' AS some_failed
+      FROM b, (VALUES ('never'), ('some')) AS m(model) GROUP BY model""",
     "glyph_line_boxes": """WITH l AS (SELECT l_orderkey, l_linenumber, CAST(min(l_partkey) AS VARCHAR) AS t FROM lineitem GROUP BY 1, 2),
       c AS (SELECT *, unnest(range(length(t))) AS i FROM l), g AS (SELECT *, CAST(substr(t, i + 1, 1) AS INT) % 2 AS odd FROM c)
       SELECT l_orderkey, l_linenumber, CAST(0 AS DOUBLE) AS x0, CAST(l_linenumber * 12.0 AS DOUBLE) AS y0, CAST((length(any_value(t)) - 1) * 6.0 + 5.0 AS DOUBLE) AS x1,

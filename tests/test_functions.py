@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillspark.functions.money import date_text, date_value, money, percent
+from quillspark.functions.money import date_text, date_value, money, percent, two_decimals
 from quillspark.functions.text import compact, group, lines, present, trimmed, whole
 from quillspark.operators.comparing import with_matches
 from quillspark.operators.payloads import header_map, http_ocr_text
@@ -31,7 +31,8 @@ def test_money_and_dates(spark):
         "1234.56", "0.12", "0.14", "-3.00", None, None, None, None, "1000.00"]
     assert values(spark, [" 2024-02-30 ", "2024/01/01", "0000-00-00"], date_text) == ["2024-02-30", None, "0000-00-00"]
     assert values(spark, ["2024-02-30"], date_value) == [None]
-    assert values(spark, ["9%", "x%", "0.09", ""], percent) == ["0.09", "x%", "0.09", None]
+    assert values(spark, ["9%", "x%", "0.09", "", "12.5%", "13.5%", "1d%"], percent) == ["0.09", "x%", "0.09", None, "0.12", "0.14", "1d%"]
+    assert values(spark, ["0.125", "0.135", "1d", "x", "7"], two_decimals) == ["0.12", "0.14", "1d", "x", "7.00"]
 
 
 def test_routes(spark):
@@ -39,9 +40,11 @@ def test_routes(spark):
 
 
 def test_urls(spark):
-    bad = ["http://a.com", "ftp://a.com", "https://", "https://localhost./", "https://10.0.0.1", "https://[fe80::1]/", "https://u@127.0.0.1:1/", None, "https://0.0.0.0"]
+    bad = ["http://a.com", "ftp://a.com", "https://", "https://localhost./", "https://10.0.0.1", "https://[fe80::1]/", "https://u@127.0.0.1:1/", None, "https://0.0.0.0",
+           "https://[0:0:0:0:0:0:0:1]/", "https://[0::1]/", "https://[::7f00:1]/", "https://[::ffff:8.8.8.8]/", "https://[fe80::1%25eth0]/", "https://[1:2:3]/", "https://[::1::]/",
+           "https://127.1/", "https://2130706433/", "https://0x7f000001/", "https://[fd12::5]", "https://[::]"]
     assert values(spark, bad, url_allowed) == [False] * len(bad)
-    assert values(spark, ["https://8.8.8.8/x", "HTTPS://example.com"], url_allowed) == [True, True]
+    assert values(spark, ["https://8.8.8.8/x", "HTTPS://example.com", "https://[2001:4860:4860::8888]/", "https://1a.com"], url_allowed) == [True] * 4
     assert values(spark, ["http://a.com"], lambda u: url_allowed(u, True)) == [True]
 
 
