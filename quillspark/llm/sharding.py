@@ -1,13 +1,14 @@
 """Sharding by histogram sort: splitters from counted bytes, then one exchange.
 
 The key of a row is (60 bits of MD5 of its text, 60 bits of MD5 of its id), so equal texts are neighbours. Rounds count the
-exact bytes between candidate keys across all partitions and refine the bracket around each wanted byte position by 2^12
+exact bytes between candidate keys across all partitions and refine the bracket around each wanted byte position by further
 probes, until it holds one text. A shard then ends at the nearer edge of that group of equal texts if it is within
 ``TOLERANCE`` of a shard, and else inside the group, where the same search goes on over the second key. The same search
 with loose tolerance cuts shards into buckets for the exchange, hot groups included. Rows are exchanged once, by bucket;
 counts per bucket give each row a gapless slot.
 
-The driver holds counts per probe and the splitters, never keys of rows: at most 2^20 probes in the first round.
+The driver holds counts per probe and the splitters, never keys of rows: at most ``MOST_PROBES`` for the brackets of one
+depth together, so the more brackets are open, the fewer probes each has and the more rounds there are.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillspark.llm.storage import discarded, written
 
 BITS, STEP = 60, 12
+MOST_PROBES = 1 << 20
 TOLERANCE = 0.01
 BUCKET_BYTES = 32 << 20
 MOST_BUCKETS = 1 << 16
@@ -65,6 +67,12 @@ class _Target:
             self.shift, self.prefix, self.below = shift, b, below
 
 
+def probe_bits(targets: int, brackets: int) -> int:
+    """Bits by which a round refines each of ``brackets``: 16 probes a target where one bracket holds many targets."""
+    wanted = max(STEP, math.ceil(targets / brackets).bit_length() + 4)
+    return max(1, min(wanted, (MOST_PROBES // brackets).bit_length() - 1))
+
+
 def splitters(keys: DataFrame, shards: int, bucket_bytes: int = BUCKET_BYTES) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(first keys of shards 1.., first keys of buckets 1..) from a table (h, d, size)."""
     total = keys.agg(F.sum("size")).first()[0] or 0
@@ -74,11 +82,10 @@ def splitters(keys: DataFrame, shards: int, bucket_bytes: int = BUCKET_BYTES) ->
     cuts = [_Target(total * i / shards, True) for i in range(1, shards)]
     loose = [_Target(total * i / buckets, False) for i in range(1, buckets)]
     near = {True: total / shards * TOLERANCE, False: total / buckets / 2}
-    step = min(20, max(STEP, buckets.bit_length() + 4))
     while active := [t for t in cuts + loose if t.cut is None]:
         for group, shift in {(t.group is not None, t.shift) for t in active}:
             mine = [t for t in active if (t.group is not None, t.shift) == (group, shift)]
-            down = max(0, shift - step)
+            down = max(0, shift - probe_bits(len(mine), len({(t.group, t.prefix) for t in mine})))
             rows = keys
             if group:
                 wanted = sorted({(t.group, t.prefix) for t in mine})
@@ -96,7 +103,6 @@ def splitters(keys: DataFrame, shards: int, bucket_bytes: int = BUCKET_BYTES) ->
                 by.setdefault((g, b >> (shift - down)), []).append((b, *rest))
             for t in mine:
                 t.refine(by[(t.group if group else 0, t.prefix)], down, near[t.exact])
-        step = STEP
     shard_cuts = [t.cut for t in cuts]
     return shard_cuts, sorted({*shard_cuts, *(t.cut for t in loose)})
 
