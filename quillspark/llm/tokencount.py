@@ -2,8 +2,9 @@
 
 Three steps. The distinct pre-tokens of all documents with their frequencies, combined before the one shuffle. The library
 counts the pieces of each, once. Counts then join to the pre-tokens of each document: those of the most frequent ones, at
-most ``HOT`` short strings, by a table that is sent to the tasks; the rest, each in few documents, by a join of
-(document, pre-token, frequency). So what is sent is bounded whatever the corpus, and no frequent key is ever dealt.
+most ``HOT``, by a table that is sent to the tasks; the rest, each in few documents, by a join of
+(document, pre-token, frequency). The table names pre-tokens over ``NAME_CHARS`` by their SHA-256. So what is sent is bounded
+whatever the corpus, and no frequent key is ever dealt, however long.
 
 Pre-tokens are cut by the published pattern of byte-level BPE in the JVM. Texts with special strings of the tokenizer, or with
 characters that the JVM's version of Unicode does not know and the library's may, are counted whole by the library. So are
@@ -16,6 +17,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from quillspark.llm.storage import discarded, written
 
-HOT, HOT_CHARS = 200_000, 32
+HOT, NAME_CHARS = 200_000, 32
 LIBRARY_BATCH = 4096
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 # The characters that Unicode classes as white space, and the published pre-token pattern of byte-level BPE with them.
@@ -70,22 +72,28 @@ def _counted(units: DataFrame, path: str) -> DataFrame:
     return units.mapInArrow(run, "unit string, freq long, pieces long")
 
 
+def _name(unit: str) -> str:
+    """A pre-token as the table of hot ones has it."""
+    return unit if len(unit) <= NAME_CHARS else sha256(unit.encode()).hexdigest()
+
+
 def _hottest(pieces: DataFrame, most: int) -> tuple[dict[str, int], DataFrame | None]:
-    """Pieces of the most frequent short pre-tokens, at most ``most``; and the table of all others, None if there are none.
+    """Pieces of the most frequent pre-tokens, at most ``most``; and the table of all others, None if there are none.
 
     All of a power of two of frequencies are hot or none are.
     """
-    short = F.length("unit") <= HOT_CHARS
-    level = F.when(short, F.length(F.bin("freq")))
+    level = F.length(F.bin("freq"))
     levels = dict(map(tuple, pieces.groupBy(level).count().collect()))
     least, held = None, 0
-    for at in sorted((x for x in levels if x is not None), reverse=True):
+    for at in sorted(levels, reverse=True):
         if held + levels[at] > most:
             break
         least, held = at, held + levels[at]
-    hot = short & (F.length(F.bin("freq")) >= least) if least is not None else F.lit(False)
-    table = {unit: n for unit, n in pieces.where(hot).select("unit", "pieces").collect()} if held else {}
-    return table, pieces.where(~hot) if held < sum(levels.values()) else None
+    if least is None:
+        return {}, pieces
+    name = F.when(F.length("unit") <= NAME_CHARS, F.col("unit")).otherwise(F.sha2(F.col("unit").cast("binary"), 256))
+    table = {unit: n for unit, n in pieces.where(level >= least).select(name, "pieces").collect()}
+    return table, pieces.where(level < least) if held < sum(levels.values()) else None
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 1024) -> DataFrame:
@@ -119,7 +127,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 10
             cuts, odd = batch.column(len(own)), batch.column(len(own) + 1)
             sizes = np.array(pa.compute.list_value_length(cuts).fill_null(0), dtype=np.int64)
             coded = cuts.flatten().dictionary_encode()
-            known = np.array([sent.value.get(u, -1) for u in coded.dictionary.to_pylist()] or [0], dtype=np.int64)
+            known = np.array([sent.value.get(_name(u), -1) for u in coded.dictionary.to_pylist()] or [0], dtype=np.int64)
             code, row = np.asarray(coded.indices), np.repeat(np.arange(len(sizes)), sizes)
             n = np.zeros(len(sizes), dtype=np.int64)
             np.add.at(n, row, np.maximum(known, 0)[code])
