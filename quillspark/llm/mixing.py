@@ -8,9 +8,10 @@ emitted once for each integer that its stretch crosses. Expected copies are coun
 The order by size class spreads the picks over small and large documents, so that a source's words differ from its target by
 about the size of one of its largest documents at most.
 
-The prefix sum is distributed: counts per (source, size class, one of 16 hash groups) give each group its start, and rows
-are ranked inside their group only, so a source that holds a third of all rows is spread over many tasks. Nor do the sources
-meet in one task: they are numbered range by range, and the level is found by sums over them.
+The prefix sum is distributed: counts per (source, size class, group by the first digits of the hash) give each group its
+start, and rows are ranked inside their group only. The digits grow with the number of rows, so that no group holds more than
+about ``GROUP_ROWS``, be all texts of one source and one size; how many there are changes no result. Nor do the sources meet in
+one task: they are numbered range by range, and the level is found by sums over them.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from quillspark.llm.storage import discarded, fresh, small_enough, written
 UNIT = 1 << 20
 MOST_COPIES = 3
 BROADCAST_GROUPS = 500_000
+GROUP_ROWS = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -85,12 +87,21 @@ def _crossed(rate: Column, rank: Column, offset: Column) -> Column:
     return up_to(rank) - up_to(rank - 1)
 
 
+def group_digits(rows: int) -> int:
+    """Hex digits of the hash, at least one, that cut ``rows`` into groups of about ``GROUP_ROWS`` at most."""
+    digits = 1
+    while rows > GROUP_ROWS << 4 * digits:
+        digits += 1
+    return digits
+
+
 def _placed(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
     """``docs`` with source, size, order, class and group."""
+    digits = group_digits(docs.count())
     size_class = (F.length(F.bin("size")) * 16 + F.expr("shiftright(size, cast(greatest(length(bin(size)) - 4, 0) as int))")).cast("int")
     return (
         docs.withColumns({"size": word_count(F.col(text)), "source": F.col(source), "order": F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))})
-        .withColumn("class", size_class).withColumn("group", F.substring("order", 1, 1)))
+        .withColumn("class", size_class).withColumn("group", F.substring("order", 1, digits)))
 
 
 _KEY = ["source", "class", "group"]
@@ -112,11 +123,18 @@ def mix_sources(docs: DataFrame, text: str = "text", weights: tuple[int, ...] =
     groups = placed.groupBy(*_KEY).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     groups = written(groups, "mix-groups")
     sources = source_targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
-    in_order = Window.partitionBy("source").orderBy("class", "group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0))).alias("g").join(
+    def earlier(*order):
+        return F.coalesce(F.sum("n").over(Window.partitionBy(*order[:-1]).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    classes = groups.groupBy("source", "class").agg(F.sum("n").alias("n")).withColumn("before", earlier("source", "class"))
+    classes = small_enough(written(classes, "mix-classes"), BROADCAST_GROUPS).alias("c")
+    g = groups.withColumn("inner", earlier(*_KEY)).alias("g")
+    groups_at = g.join(classes, F.col("g.source").eqNullSafe(F.col("c.source")) & (F.col("g.class") == F.col("c.class"))).select(
+        *[f"g.{c}" for c in _KEY], (F.col("c.before") + F.col("g.inner")).alias("before"))
+    starts = groups_at.alias("g").join(
         small_enough(sources, BROADCAST_GROUPS).alias("s"), F.col("g.source").eqNullSafe(F.col("s.source"))
     ).select("g.source", "g.class", "g.group", "g.before", "s.source_size", "s.target", "s.rate", _start(F.col("g.source")).alias("offset"))
-    # At most 16 groups for each of a few hundred size classes of a source: the table follows the number of sources only.
+    # A few hundred size classes of a source, each of 16 groups or more: one group a document at most, and joined as its size allows.
     starts = written(starts, "mix-starts")
     discarded(groups)
     inside = F.row_number().over(Window.partitionBy(*_KEY).orderBy("order", "size"))

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import chat, decontam, jaccard, kernels, mixing, secretscan, sharding, topk, toxicity, urlfilter
+from quillspark.llm import chat, decontam, jaccard, kernels, mixing, secretscan, sharding, tokencount, topk, toxicity, urlfilter
 from tests.llm.test_llm import BASE, brute_align, brute_components, brute_targets, prose, shard_laws, words
 
 RND = random.Random(21)
@@ -134,6 +134,44 @@ def plain_mix(rows):
     return sorted(out, key=str)
 
 
+def test_mix_by_groups_of_any_number(spark, monkeypatch):
+    rows = [(i, prose(7) if i % 3 else "one text of all", ["a", "b", None][i % 7 % 3]) for i in range(1500)]
+    df, counts = spark.createDataFrame(rows, "doc_id long, text string, source string"), []
+    for most in (1_000_000, 3):
+        monkeypatch.setattr(mixing, "GROUP_ROWS", most)
+        counts.append(sorted(map(tuple, mixing.mix_sources(df).select("doc_id", "copies").collect())))
+    assert [mixing.group_digits(n) for n in (0, 48, 49, 768, 769)] == [1, 1, 2, 2, 3]
+    assert counts[0] == counts[1]
+    assert [i for i, n in counts[0] for _ in range(n)] == sorted(plain_mix(df.collect()))
+
+
+def test_probes_are_bounded(spark, monkeypatch):
+    for targets, brackets in ((1, 1), (7, 1), (65_535, 1), (65_535, 4096), (65_535, 65_535), (1 << 22, 1 << 20)):
+        bits = sharding.probe_bits(targets, brackets)
+        assert bits >= 1 and brackets << bits <= max(sharding.MOST_PROBES, 2 * brackets)
+    assert sharding.probe_bits(65_535, 1) == 20 and sharding.probe_bits(7, 1) == 12
+    texts = ["hot"] * 900 + [f"hot {i % 40}" for i in range(900)] + [prose(9) for _ in range(900)]
+    df, out = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), []
+    for most in (sharding.MOST_PROBES, 256):
+        monkeypatch.setattr(sharding, "MOST_PROBES", most)
+        out.append(sorted(map(tuple, sharding.shard_by_bytes(df, 8, bucket_bytes=700).select("doc_id", "shard", "slot").collect())))
+    assert out[0] == out[1]
+
+
+def test_long_frequent_pre_tokens_are_sent(spark, monkeypatch):
+    long = ["x" * 33, "=" * 80, "\n" * 64, "é" * 32, "é" * 33]
+    rows = [(i, f"{long[i % 5]} word{i} {long[i % 3]}") for i in range(400)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    met, hottest = [], tokencount._hottest
+    monkeypatch.setattr(tokencount, "HOT", 50)
+    monkeypatch.setattr(tokencount, "_hottest", lambda *x: met.append(hottest(*x)) or met[-1])
+    got = tokencount.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    hot, cold = met[0]
+    assert {tokencount._name(" " * (i > 0) + u) for i, u in enumerate(["=" * 80])} <= set(hot) and max(map(len, hot)) == 64
+    assert cold.agg(F.max("freq")).first()[0] < 16
+    assert {(r["doc_id"], r["n_tokens"]) for r in got} == {(i, tokencount.counter(path)([t])[0]) for i, t in rows}
+
+
 def test_pipeline_by_brute_force(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     texts = [None, "", "  ", "one two", *BASE, BASE[5], BASE[6] + " tail", *(prose(60) + " vile" for _ in range(40)), *(prose(RND.randint(5, 90)) for _ in range(120))]
