@@ -1,5 +1,6 @@
 """Unicode rules of text functions, money, URL safety, comparison, pseudonyms."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.money import date_text, date_value, money, percent, two_decimals
@@ -71,6 +72,25 @@ def test_pseudonyms(spark):
     assert out == {1: "脱敏主体001有限公司 脱敏主体002有限公司", 2: "脱敏主体002有限公司 x", 3: None}
 
 
+@pytest.mark.parametrize("name", [lambda i: i, lambda i: f"order-{i:09d}", lambda i: "ab"[i % 2] * (i % 7 + 1) + str(i)])
+@pytest.mark.parametrize("groups", [1, 3, 256])
+def test_tokens_follow_first_mention(spark, name, groups):
+    """By brute force: ids far apart, strings alike in front, null ids, ties, values mentioned again, categories of unlike size."""
+    rows = [(name(i * i), p, "ab"[i % 5 == 0], f"v{i * 7 % 90}") for i in range(200) for p in (1, 2)] + [(None, 1, "a", "v3"), (None, 1, "a", "none")]
+    kind = "long" if isinstance(name(0), int) else "string"
+    mentions = spark.createDataFrame(rows, f"doc_id {kind}, position int, category string, value string")
+    got = {(r["category"], r["value"]): r["n"] for r in token_table(mentions, groups=groups).collect()}
+    first = {}
+    for key, p, c, v in rows:
+        place = (key is not None, key if key is not None else name(0), p)
+        first[c, v] = min(first.get((c, v), place), place)
+    for c in "ab":
+        ranked = sorted((place, v) for (k, v), place in first.items() if k == c)
+        assert [got[c, v] for _, v in ranked] == list(range(1, len(ranked) + 1))
+    assert len(got) == len(first)
+    assert token_table(mentions.limit(0), groups=groups).count() == 0
+
+
 def test_pseudonyms_of_all_categories(spark):
     text = "开票日期2024年03月05日 税号91310000MA1FL0XX3K 号码24317000000012345678901 金额¥12.50 CNY 9.00 证件110101********1234 20240305 甲方有限公司"
     docs = spark.createDataFrame([(1, text), (2, "2026年01月01日 税号91310000MA1FL0XX3K"), (3, None)], "doc_id long, text string")
