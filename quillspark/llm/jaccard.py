@@ -530,8 +530,8 @@ def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     rows = found.where("component is not null").select("component", "doc_id", "text_key", place.alias("place"))
     first = rows.groupBy("component").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.countDistinct("place").alias("places"))
-    first = written(first, "jaccard-first")
-    gone = rows.join(first, "component").where("place <> first").select("doc_id", "text_key").distinct()
+    first = written(first.where("n > 1"), "jaccard-first")
+    gone = rows.join(small_enough(first, BROADCAST_ROWS), "component").where("place <> first").select("doc_id", "text_key").distinct()
     gone = small_enough(written(gone, "jaccard-gone"), BROADCAST_ROWS).alias("g")
     key = fresh("text_key", docs)
     d = docs.withColumn(key, F.xxhash64("text")).alias("d")

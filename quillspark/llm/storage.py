@@ -11,8 +11,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+BROADCAST_BYTES = 64 << 20
 _own: dict[str, str] = {}
 
 
@@ -66,6 +67,23 @@ def fresh_prefix(df: DataFrame, prefix: str = "x_") -> str:
     return prefix
 
 
-def small_enough(df: DataFrame, most: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is. ``df`` should be a written table."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def bytes_of(df: DataFrame) -> Column:
+    """Bytes of a row of ``df`` in columns of no fixed width."""
+    total = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total += F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind.startswith("array"):
+            total += 8 * F.greatest(F.size(column), F.lit(0))
+    return total
+
+
+def small_enough(df: DataFrame, most: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows and ``most_bytes`` in them, else as it is.
+
+    ``df`` should be a written table; its bytes are summed only if its rows are few.
+    """
+    if df.limit(most + 1).count() > most:
+        return df
+    return F.broadcast(df) if (df.agg(F.sum(bytes_of(df))).first()[0] or 0) <= most_bytes else df

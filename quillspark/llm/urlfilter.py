@@ -3,14 +3,15 @@
 Each distinct (host, path) expands into ``host suffix + path prefix`` strings, one prefix for each length that a rule's
 path has; ``#``, which neither can hold, stands between the two. Rules and expressions meet on the first ``PREFIX_BITS`` bits of SHA-256; a hit counts only when the whole digests
 agree. Of all rules that fit a URL the longest wins; at one length the longer host, then ``block`` before ``allow``.
-DataFrame functions only. The rule table is broadcast when it has at most ``BROADCAST_RULES`` rows, else it is shuffled.
+DataFrame functions only. The rule table is broadcast when it has at most ``BROADCAST_RULES`` rows and ``BROADCAST_BYTES``
+of text, else it is shuffled.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.llm.storage import small_enough, written
+from quillspark.llm.storage import BROADCAST_BYTES, bytes_of, small_enough, written
 
 RULE_SCHEMA = "host string, path string, verdict string"
 BROADCAST_RULES = 100_000
@@ -41,7 +42,7 @@ def matched_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """
     rules = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isNotNull())
     rules = rules.select("host", "path", "verdict").distinct()
-    facts = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths")).first()
+    facts = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths"), F.sum(bytes_of(rules)).alias("bytes")).first()
     labels = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
@@ -65,7 +66,7 @@ def matched_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
             F.col("verdict").alias("rule_verdict"),
         )
     )
-    if facts["n"] <= BROADCAST_RULES:
+    if facts["n"] <= BROADCAST_RULES and (facts["bytes"] or 0) <= BROADCAST_BYTES // 4:  # each text stands in it about twice
         book = F.broadcast(book)
     e, r = _keyed(expanded).alias("e"), book.alias("r")
     hits = e.join(r, F.col("e.prefix") == F.col("r.prefix")).where(F.col("e.digest") == F.col("r.digest"))
