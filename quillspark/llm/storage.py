@@ -82,8 +82,7 @@ def bytes_of(df: DataFrame) -> Column:
 def small_enough(df: DataFrame, most: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows and ``most_bytes`` in them, else as it is.
 
-    ``df`` should be a written table; its bytes are summed only if its rows are few.
+    ``df`` should be a written table. Rows and bytes are counted where they lie, in one pass; only sums are sent.
     """
-    if df.limit(most + 1).count() > most:
-        return df
-    return F.broadcast(df) if (df.agg(F.sum(bytes_of(df))).first()[0] or 0) <= most_bytes else df
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(bytes_of(df))).first()
+    return F.broadcast(df) if rows <= most and (size or 0) <= most_bytes else df

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import chat, decontam, jaccard, kernels, mixing, secretscan, sharding, tokencount, topk, toxicity, urlfilter
+from quillspark.llm.storage import small_enough
 from tests.llm.test_llm import BASE, brute_align, brute_components, brute_targets, prose, shard_laws, words
 
 RND = random.Random(21)
@@ -134,6 +135,17 @@ def plain_mix(rows):
     return sorted(out, key=str)
 
 
+def test_broadcasts_are_bounded(spark):
+    """By rows and by bytes of text, binary and array columns; nulls and empty tables weigh nothing."""
+    df = spark.createDataFrame([("a" * 10, b"b" * 10, [1, 2]), (None, None, None)], "`a.b` string, c binary, d array<long>")
+
+    def hinted(df, *most):
+        return "ResolvedHint" in small_enough(df, *most)._jdf.queryExecution().analyzed().toString()
+
+    assert hinted(df, 2, 36) and not hinted(df, 2, 35) and not hinted(df, 1, 36)
+    assert hinted(df.limit(0), 0, 0)
+
+
 def test_mix_by_groups_of_any_number(spark, monkeypatch):
     rows = [(i, prose(7) if i % 3 else "one text of all", ["a", "b", None][i % 7 % 3]) for i in range(1500)]
     df, counts = spark.createDataFrame(rows, "doc_id long, text string, source string"), []
