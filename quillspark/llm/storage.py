@@ -11,7 +11,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 BROADCAST_BYTES = 64 << 20
 _own: dict[str, str] = {}
@@ -32,16 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, computed once, here and now; the write's shuffle files go with its end."""
+    """``df`` as a table in the shared folder, computed once, here and now; the write's shuffle files go with its end.
+
+    The table's ``written_size`` is its rows and bytes, observed while it is written.
+    """
     spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
+    seen = Observation()
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(bytes_of(df)).alias("bytes")).write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_size = (seen.get["rows"], seen.get["bytes"] or 0)  # at least; a task that was run again may count twice
+    return table
 
 
 def discarded(*tables: DataFrame) -> None:
@@ -52,6 +58,14 @@ def discarded(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dropped(spark: SparkSession, *names: str | None) -> None:
+    """Removes tables that were saved by name in the shared folder, with their files."""
+    for name in filter(None, names):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillspark/{name}")
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """``name``, lengthened until no frame has a column of that name."""
     taken = {c.lower() for df in frames for c in df.columns}
@@ -82,7 +96,7 @@ def bytes_of(df: DataFrame) -> Column:
 def small_enough(df: DataFrame, most: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows and ``most_bytes`` in them, else as it is.
 
-    ``df`` should be a written table. Rows and bytes are counted where they lie, in one pass; only sums are sent.
+    Of a table just written both are known. Of others they are counted in one pass; only sums are sent.
     """
-    rows, size = df.agg(F.count(F.lit(1)), F.sum(bytes_of(df))).first()
+    rows, size = getattr(df, "written_size", None) or df.agg(F.count(F.lit(1)), F.sum(bytes_of(df))).first()
     return F.broadcast(df) if rows <= most and (size or 0) <= most_bytes else df

@@ -39,10 +39,10 @@ _NONE = -(1 << 5000)  # below every score
 _FOUND = "query long, query_id long, vec_id long, score long, big binary"
 
 
-def integer_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024) -> DataFrame:
-    """(id, v) with v = floor(scale * x), whole numbers held as doubles.
+def integer_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024, null_ids: bool = False, kept: tuple[str, ...] = ()) -> DataFrame:
+    """(id, v, and the columns ``kept``) with v = floor(scale * x), whole numbers held as doubles.
 
-    Rows with a null id, a null vector or a null or non-finite component go; all others stay, whatever their size. An
+    Rows with a null id (unless ``null_ids``), a null vector or a null or non-finite component go; all others stay, whatever their size. An
     error is raised where scale * x leaves the range of doubles.
     """
     x = F.transform(F.col(f"`{embedding}`"), lambda e: e.cast("double"))
@@ -53,9 +53,9 @@ def integer_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
         whole = F.when(F.abs(y) < float(_EXACT), F.floor(y).cast("double")).otherwise(y)
         return F.when(F.abs(y) < float("inf"), whole).otherwise(F.raise_error(F.lit("a component leaves the range of doubles")).cast("double"))
 
-    return df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), x.alias("x")).where(
-        F.col("id").isNotNull() & F.col("x").isNotNull() & fine
-    ).select("id", F.transform("x", scaled).alias("v"))
+    return df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), x.alias("x"), *kept).where(
+        (F.lit(null_ids) | F.col("id").isNotNull()) & F.col("x").isNotNull() & fine
+    ).select("id", F.transform("x", scaled).alias("v"), *kept)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -159,6 +159,13 @@ def down_key(n: int) -> bytes:
     return b"\x01" + key if n <= 0 else b"\x00" + bytes(255 - x for x in key)
 
 
+def from_down_key(key: bytes) -> int:
+    """The number of a ``down_key``."""
+    body = key[1:] if key[0] else bytes(255 - x for x in key[1:])
+    n = int.from_bytes(body[4:])
+    return -n if key[0] else n
+
+
 def search_blocks(queries: np.ndarray, query_ids: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], largest: np.ndarray, smallest: np.ndarray,
                   best: _Best, wanted: np.ndarray | None = None) -> int:
     """Scores blocks (ids, vectors) against all queries into ``best``; returns the number of (query, block) pairs scored.
