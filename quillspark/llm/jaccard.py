@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.kernels import mix, segments, shingle_sets
-from quillspark.llm.storage import discarded, fresh, small_enough, written
+from quillspark.llm.storage import discarded, fresh, renamed, small_enough, written
 
 U64 = np.uint64
 BROADCAST_ROWS = 300_000
@@ -268,16 +268,17 @@ def components(edges: DataFrame) -> DataFrame:
     def both_ways(e: DataFrame) -> DataFrame:
         return e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def facts(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    def kept(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """``e`` as a table, and what tells it from another; a task that ran twice costs a further round at most."""
+        table = written(e, "components", total=F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")))
+        return table, (table.written_size[0], *table.facts)
 
     def named(e: DataFrame, least: DataFrame) -> DataFrame:
         """``e`` with the root of its a. Both sides are tables, so that a node with very many edges can be split at run time."""
         return e.join(small_enough(least, BROADCAST_ROWS), "a")
 
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "components")
-    state = facts(now)
-    while True:
+    now, state = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    while state[0]:
         # large star: the larger neighbours of a node go to the least of its neighbours and itself
         least = both_ways(now).groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("root"))
         least = written(least, "components-least")
@@ -287,9 +288,9 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: the smaller neighbours of a node and itself go to the least of them
         least = written(large.groupBy("a").agg(F.min("b").alias("root")), "components-least")
         small = named(large, least).select(F.explode(F.array("a", "b")).alias("x"), "root").where("x <> root")
-        now = written(small.select(F.col("x").alias("a"), F.col("root").alias("b")).distinct(), "components")
+        before = state
+        now, state = kept(small.select(F.col("x").alias("a"), F.col("root").alias("b")).distinct())
         discarded(large, least)
-        before, state = state, facts(now)
         if state == before:
             break
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -318,7 +319,7 @@ def _sides(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) -> DataF
 
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with root_a and root_b; a class without links is its own root."""
-    named = _sides(pairs, roots.withColumnRenamed("node", "class"), {"root": "root"})
+    named = _sides(pairs, renamed(roots, {"node": "class"}), {"root": "root"})
     return named.withColumns({f"root_{x}": F.coalesce(f"root_{x}", x) for x in ("a", "b")})
 
 
@@ -365,7 +366,7 @@ def _mixed(met: DataFrame, roots: DataFrame) -> DataFrame:
     touched = written(apart.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct(), "jaccard-touched")
     named = _rooted(met, roots)
     for side in ("a", "b"):
-        named = named.join(small_enough(touched.withColumnRenamed("root", f"root_{side}"), BROADCAST_ROWS), f"root_{side}", "left_semi")
+        named = named.join(small_enough(renamed(touched, {"root": f"root_{side}"}), BROADCAST_ROWS), f"root_{side}", "left_semi")
     rows = named.select("keys", "a", "b").mapInArrow(unpacked, "key long, a string, b string")
     rows = rows.join(small_enough(keys, BROADCAST_ROWS), "key", "left_semi")
     rows = written(rows.select("key", F.explode(F.array("a", "b")).alias("class")).distinct(), "jaccard-members")
@@ -478,9 +479,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     checked = written(_verified(best, texts, n, t), "jaccard-checked")
     roots = components(checked.where("linked"))
     rest = _apart(near.select("a", "b").join(checked, ["a", "b"], "left_anti"), roots).select("a", "b")
-    again = written(_verified(rest, texts, n, t), "jaccard-checked")
+    again = written(_verified(rest, texts, n, t), "jaccard-checked", linked=F.count_if("linked"))
     discarded(texts, checked, near)
-    if again.where("linked").limit(1).count():
+    if again.facts[0]:
         roots = joined(roots, again.where("linked"))
     discarded(again)
     discarded(pairs)
@@ -488,8 +489,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     members = _mixed(met, roots)
     discarded(met)
     failed = None
-    for every in (False, True):
-        parted = nodes.join(small_enough(roots.withColumnRenamed("node", "class"), BROADCAST_ROWS), "class", "left")
+    for every in (False, True) if members.written_size[0] else ():
+        parted = nodes.join(small_enough(renamed(roots, {"node": "class"}), BROADCAST_ROWS), "class", "left")
         parted = parted.select("class", F.coalesce("root", "class").alias("root"), "size", "sketch")
         parted = written(parted.join(members.select("class").distinct(), "class", "left_semi"), "jaccard-open")
         across = _across(members, parted, t, every)
@@ -497,14 +498,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
             across = across.join(failed, ["a", "b"], "left_anti")
         across = written(across, "jaccard-across")
         discarded(parted)
-        if not across.limit(1).count():
+        if not across.written_size[0]:
             break
         texts = texts_of(across)
-        checked = written(_verified(across, texts, n, t), "jaccard-checked")
+        checked = written(_verified(across, texts, n, t), "jaccard-checked", linked=F.count_if("linked"))
         discarded(across, texts)
-        roots = joined(roots, checked.where("linked"))
+        if checked.facts[0]:
+            roots = joined(roots, checked.where("linked"))
         failed = checked.where("not linked")
-        if not failed.limit(1).count():
+        if checked.facts[0] == checked.written_size[0]:
             break
     discarded(members)
     # the least id of each component, class by class: no step deals documents, or the classes of one component, to one task
@@ -530,14 +532,14 @@ def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     rows = found.where("component is not null").select("component", "doc_id", "text_key", place.alias("place"))
     first = rows.groupBy("component").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.countDistinct("place").alias("places"))
-    first = written(first.where("n > 1"), "jaccard-first")
+    first = written(first.where("n > 1"), "jaccard-first", repeated=F.count_if(F.col("n") > F.col("places")))
     gone = rows.join(small_enough(first, BROADCAST_ROWS), "component").where("place <> first").select("doc_id", "text_key").distinct()
     gone = small_enough(written(gone, "jaccard-gone"), BROADCAST_ROWS).alias("g")
     key = fresh("text_key", docs)
     d = docs.withColumn(key, F.xxhash64("text")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{key}") == F.col("g.text_key"))
     left = d.join(gone, same, "left_anti")
-    if first.where("n > places").limit(1).count():  # some row is repeated as a whole
+    if first.facts[0]:  # some row is repeated as a whole
         has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
         left = left.where(~has_words).unionByName(left.where(has_words).dropDuplicates(["doc_id", key]))
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])

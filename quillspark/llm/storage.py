@@ -31,10 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **facts: Column) -> DataFrame:
     """``df`` as a table in the shared folder, computed once, here and now; the write's shuffle files go with its end.
 
-    The table's ``written_size`` is its rows and bytes, observed while it is written.
+    The table's ``written_size`` is its rows and bytes, observed while it is written, and ``facts`` further aggregates.
     """
     spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
@@ -42,14 +42,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark.conf.set(cleanup, "true")
     seen = Observation()
     try:
-        df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(bytes_of(df)).alias("bytes")).write.option("compression", "zstd").parquet(path)
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(bytes_of(df)).alias("bytes"), *[x.alias(f"fact_{k}") for k, x in facts.items()]).write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(cleanup, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_size = (seen.get["rows"], seen.get["bytes"] or 0)  # at least; a task that was run again may count twice
+    table.facts = tuple(seen.get[f"fact_{k}"] for k in facts)
     return table
 
 
+def renamed(table: DataFrame, names: dict[str, str]) -> DataFrame:
+    """A written table with other names for some columns; its size stays known."""
+    out = table.withColumnsRenamed(names)
+    out.written_size = table.written_size
+    return out
+
+
 def discarded(*tables: DataFrame) -> None:
     """Removes written tables that no later step reads."""
     for df in tables:
