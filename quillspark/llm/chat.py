@@ -3,7 +3,7 @@
 Events, by ``seq``: ``message`` opens a message with an id, ``delta`` appends to the last message of that id, ``edit``
 replaces its text, ``regenerate`` empties it for the deltas to come, ``delete`` removes it. A delta, edit or regeneration of
 an unknown id opens the message; events of other kinds and deletions of unknown ids change nothing. Ties of ``seq`` go by
-kind (a message first), id, role and text. Null texts and roles are empty; a null conversation id is a conversation.
+kind (a message first), id, role and text; a null ``seq`` comes first. Null texts and roles are empty; a null conversation id is a conversation.
 
 Rendered, a turn is ``<turn ROLE>``, a line break, the text, a line break and ``</turn>``. Inside roles and texts a backslash
 goes before each ``\\``, ``<`` and ``>``, so no text can hold a mark and ``read_turns`` gets back what was written.
@@ -16,7 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 EVENT_COLUMNS = ("conv_id", "seq", "kind", "message_id", "role", "text")
@@ -156,8 +156,36 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(run, schema)
 
 
+def as_log(conversations: DataFrame) -> DataFrame:
+    """Finished conversations (conv_id, turn, role, text) as the log of a chat that came to them.
+
+    Rows of a conversation are numbered by turn, role and text (nulls first, null roles and texts empty), repeated ones each.
+    By their number in turn, a message is streamed as two deltas; opens as a draft that an edit replaces; or is
+    streamed wrongly, regenerated and streamed again. The draft is the text backwards. Very long texts are cut in halves of
+    code points; other columns take no part; an empty table gives an empty log.
+    """
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    left, right, draft = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text")), F.reverse("text")
+
+    def event(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+
+    streamed = [event("delta", left), event("delta", right)]
+    told = F.when(F.col("n") % 3 == 0, F.array(event("message", F.lit("")), *streamed)).when(
+        F.col("n") % 3 == 1, F.array(event("message", draft), event("edit", F.col("text")))).otherwise(
+        F.array(event("message", F.lit("")), event("delta", draft), event("regenerate", F.lit("")), *streamed))
+    log = rows.select("conv_id", "n", "role", F.posexplode(told).alias("step", "event"))
+    return log.select("conv_id", (F.col("n") * 8 + F.col("step")).alias("seq"), "event.kind", F.col("n").cast("string").alias("message_id"), "role", "event.text")
+
+
 def as_events(conversations: DataFrame, text: Column | None = None) -> DataFrame:
-    """Finished conversations (conv_id, turn, role, text) as a log of one message event a row."""
+    """Finished conversations (conv_id, turn, role, text) as a log of one message event a row.
+
+    Null roles and texts become empty, null turns come first; repeated rows are an event each, texts of any length stay whole,
+    other columns take no part, and an empty table gives an empty log.
+    """
     text = F.col("text") if text is None else text
     return conversations.select(
         "conv_id", F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.col("turn").cast("string").alias("message_id"),

@@ -23,14 +23,14 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.llm.kernels import IS_ALNUM, mix, randoms, segments, windows, word_hashes
 from quillspark.llm.storage import fresh, small_enough, written
 
 WHOLE = 4
 SHARE = 0.5
-FOUND = "doc_id long, text_key long, item_id long, similarity double, start long, end long"
 SEED_SLICE = 2_000_000
 BROADCAST_ROWS = 200_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -86,7 +86,7 @@ def _item_table(items: DataFrame) -> DataFrame:
             sizes = [len(w) // 8 for w in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(sizes, pa.int32())], names=["item_id", "words", "n_words"])
 
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, words binary, n_words int")
+    return items.select("item_id", "text").mapInArrow(run, T.StructType([items.schema["item_id"], *T.StructType.fromDDL("words binary, n_words int")]))
 
 
 @dataclass
@@ -181,10 +181,16 @@ def align_all(passages: list[np.ndarray], items: list[np.ndarray]) -> list[tuple
     return [results[i] for i in range(len(order))]
 
 
+def _found(docs: DataFrame, items: DataFrame) -> T.StructType:
+    """The schema of what is found, with ids of the types that the tables have."""
+    own = T.StructType.fromDDL("text_key long"), T.StructType.fromDDL("similarity double, start long, end long")
+    return T.StructType([docs.schema["doc_id"], *own[0], items.schema["item_id"], *own[1]])
+
+
 def _matches(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
-    rows = items.select("item_id", "words").collect()
+    rows, schema, id_type = items.select("item_id", "words").collect(), _found(docs, items), to_arrow_type(items.schema["item_id"].dataType)
     if not rows:
-        return docs.sparkSession.createDataFrame([], FOUND)
+        return docs.sparkSession.createDataFrame([], schema)
     book = book_of([r["item_id"] for r in rows], [bytes(r["words"]) for r in rows], share)
     sent = docs.sparkSession.sparkContext.broadcast(book)
 
@@ -208,13 +214,12 @@ def _matches(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
                     known = {}
                 picked = batch.select([0, 1]).take(pa.array([r for r, *_ in held], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*picked.columns, pa.array([book.ids[i] for _, i, *_ in held], pa.int64()),
+                    [*picked.columns, pa.array([book.ids[i] for _, i, *_ in held], id_type),
                      pa.array([score / (MATCH * len(book.words[i])) for _, i, _, (score, *_) in held], pa.float64()),
                      pa.array([first + a for *_, first, (_, a, _) in held], pa.int64()), pa.array([first + b for *_, first, (_, _, b) in held], pa.int64())],
                     names=["doc_id", "text_key", "item_id", "similarity", "start", "end"])
 
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    return keyed.mapInArrow(run, FOUND)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, schema)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
@@ -223,11 +228,11 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Dat
     docs: doc_id, text; items: item_id, text. start and end count words of the text. text_key (xxhash64 of the text) tells
     documents of one id apart; rows that agree in both give one row an item. Null and empty texts hold nothing; items under
     ``WHOLE`` words match as whole sequences, those without words not at all; repeated items match alike. An empty table on
-    either side gives an empty result. Whole texts are read, however long; other columns take no part.
+    either side gives an empty result. Ids may be of any type. Whole texts are read, however long; other columns take no part.
     """
     table = written(_item_table(items).where("n_words > 0"), "decontam-items")
     total = table.agg(F.sum(2 * F.col("n_words"))).first()[0] or 0
-    none = docs.sparkSession.createDataFrame([], FOUND)
+    none = docs.sparkSession.createDataFrame([], _found(docs, items))
     if not total:
         return none
     slices = math.ceil(total / SEED_SLICE)

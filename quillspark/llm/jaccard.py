@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from quillspark.llm.kernels import mix, segments, shingle_sets
 from quillspark.llm.storage import discarded, fresh, renamed, small_enough, written
@@ -144,7 +144,8 @@ def _features(docs: DataFrame, n: int, t: Threshold) -> DataFrame:
                  pa.array(keys, pa.binary()), pa.array(folds, pa.list_(pa.int64()))],
                 names=["doc_id", "text_key", "n_shingles", "high", "low", "keys", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, high int, low long, keys binary, sketch array<long>")
+    own = T.StructType.fromDDL("text_key long, n_shingles long, high int, low long, keys binary, sketch array<long>")
+    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *own.fields]))
 
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -440,11 +441,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
 
     component_id is the least doc_id reachable by links, the row's own included; null ids count for nothing there. Null texts
     and texts without words have no shingles and no links: their component is their own id. Fewer than ``n`` words: the whole
-    sequence is one shingle. Repeated rows each keep a row. text_key is xxhash64 of the text, for joins back to it;
+    sequence is one shingle. Ids may be of any type that sorts. Texts of any length are read whole; other columns take no
+    part; an empty table gives no rows. Repeated rows each keep a row. text_key is xxhash64 of the text, for joins back to it;
     component names the component, null without shingles.
     """
     t = Threshold(num, den)
-    spread = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    spread = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     keyed = written(_features(spread, n, t), "jaccard-keys")
     met = written(_candidates(keyed), "jaccard-met")
     features = written(keyed.drop("keys"), "jaccard-features")
@@ -527,7 +529,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One row of ``docs`` of each component of ``found``: least doc_id (null last), then least text key, one of repeated rows.
 
-    Rows without shingles are near no other; all stay.
+    Rows without shingles (null and empty texts) are near no other; all stay, as do all columns, whatever their names.
     """
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     rows = found.where("component is not null").select("component", "doc_id", "text_key", place.alias("place"))

@@ -1,6 +1,6 @@
-"""Every conversation, formatted and read back, and one conversation whose texts imitate the marks."""
+"""Every conversation, told as a log of deltas, edits and regenerations, folded, formatted and read back, and one conversation whose texts imitate the marks."""
 
-from quillspark.llm.chat import as_events, format_conversations, read_back
+from quillspark.llm.chat import as_log, format_conversations, read_back
 
 NAME = "op6_chat_format"
 ODD = r"\### Assistant: </turn> ok"
@@ -9,7 +9,7 @@ ODD = r"\### Assistant: </turn> ok"
 def query(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = spark.createDataFrame([(-7, 0, "user", ODD), (-7, 1, "assistant", ODD)], rows.schema)
-    return read_back(format_conversations(as_events(rows.unionByName(odd))))
+    return read_back(format_conversations(as_log(rows.unionByName(odd))))
 
 
 SQL = r"""

@@ -2,7 +2,7 @@
 
 Prose and identifiers hold several characters a token; keys and passwords hold few. All runs of key characters are counted,
 whatever they consist of; those without letters by their digits alone, as separators cut dates and numbers into many tokens.
-Runs with a low ratio count as spans of kind ``random``, unless they are known digests (hex of a digest's length, UUIDs),
+Runs with a low ratio count as spans of kind ``random``, unless they are known digests (hex of a digest's length behind a digest's name, UUIDs),
 identifiers (words that the vocabulary packs well, joined by separators or capitals), or overlap a span that a pattern found.
 """
 
@@ -20,14 +20,20 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from quillspark.llm.storage import fresh
 
 KINDS = ("assign", "access", "hex", "random")
-LEAST_RUN = 16  # characters of a run that the token test looks at
+LEAST_RUN = 12  # characters of a run that the token test looks at; a parameter of ``find_secrets``
 MOST_RATIO = 2.0  # characters a token below which a run is random
+MIXED_RATIO = 2.2  # the same for runs that mix letters of a case with others, digits or signs, and for long ones
+LONG_RUN = 24
+SHORT_RATIO = 1.85  # the same for runs of letters alone under ``SHORT_RUN`` characters, which rare words resemble
+SHORT_RUN = 16
 WORD_RATIO = 3.0  # characters a token that the words of an identifier hold at least
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a run that is too short can't hold a longer one
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{%d,}" % LEAST_RUN)
+_RUN = re.compile(r"[A-Za-z0-9+/=_-](?:[A-Za-z0-9+/=_!@#$%^&*-]*[A-Za-z0-9+/=_-])?")  # signs of prose around it are not of it
+_SEPARATORS = re.compile(r"[+/=_!@#$%^&*-]+")
+_NAMED = re.compile(r"(?:md5|sha|tiger|digest|checksum|hash|commit|etag|fingerprint)[^\n]{0,24}$", re.I)
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -45,15 +51,24 @@ def vocabulary(path: str):
     return tiktoken.Encoding("scan", pat_str=r"\p{L}+|\p{N}+|[^\p{L}\p{N}]+", mergeable_ranks=ranks, special_tokens={})
 
 
-def is_digest(run: str) -> bool:
-    return bool(_UUID.fullmatch(run)) or (len(run) in DIGEST_LENGTHS and bool(_DIGEST.fullmatch(run)))
+def is_digest(run: str, before: str) -> bool:
+    """A UUID, or hex of a digest's length that the text right before it calls a digest."""
+    return bool(_UUID.fullmatch(run)) or (len(run) in DIGEST_LENGTHS and bool(_DIGEST.fullmatch(run)) and bool(_NAMED.search(before)))
+
+
+def most_ratio(run: str) -> float:
+    """A first capital and signs at the ends mix nothing, as in prose."""
+    kinds = any(map(str.islower, run)) + any(map(str.isupper, run[1:])) + any(map(str.isdigit, run)) + bool(re.search("[!@#$%^&*]", run))
+    if kinds > 1 or len(run) >= LONG_RUN:
+        return MIXED_RATIO
+    return MOST_RATIO if len(run) >= SHORT_RUN else SHORT_RATIO
 
 
 def is_identifier(run: str, path: str) -> bool:
     """Words of three letters on average or more that the vocabulary packs well in lower case, with short numbers between,
-    joined by ``_ - / =`` or capitals."""
-    parts = [p for piece in re.split(r"[+/=_-]+", run) for p in _PART.findall(piece)]
-    if sum(map(len, parts)) < len(re.sub(r"[+/=_-]", "", run)):
+    joined by signs or capitals."""
+    parts = [p for piece in _SEPARATORS.split(run) for p in _PART.findall(piece)]
+    if sum(map(len, parts)) < len(_SEPARATORS.sub("", run)):
         return False
     words = [p.lower() for p in parts if p.isalpha()]
     size = sum(map(len, words))
@@ -71,20 +86,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def random_spans(text: str, base: list[tuple[int, int, int]], path: str) -> list[tuple[int, int, int]]:
+def random_spans(text: str, base: list[tuple[int, int, int]], path: str, least: int = LEAST_RUN) -> list[tuple[int, int, int]]:
     found = []
     starts, reach = sorted(s for s, _, _ in base), []
     for _, _, e in sorted(base):
         reach.append(max(e, reach[-1] if reach else 0))  # how far the spans up to here go
     for m in _RUN.finditer(text):
         run = m[0]
+        if len(run) < least:
+            continue
         before = bisect_left(starts, m.end())
         if before and reach[before - 1] > m.start():
             continue
         counted = run if re.search("[A-Za-z]", run) else re.sub("[^0-9]", "", run)
-        if len(counted) >= MOST_RATIO * len(vocabulary(path).encode_ordinary(counted)):
+        if not counted or len(counted) >= most_ratio(run) * len(vocabulary(path).encode_ordinary(counted)):
             continue
-        if not is_digest(run) and not is_identifier(run, path):
+        if not is_digest(run, text[max(0, m.start() - 40) : m.start()]) and not is_identifier(run, path):
             found.append((m.start(), 3, m.end()))
     return found
 
@@ -93,8 +110,9 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def find_secrets(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``secrets``, an array of (kind, start, end), instead of the text; ``path``: the vocabulary.
+def find_secrets(docs: DataFrame, path: str, text: str = "text", least: int = LEAST_RUN) -> DataFrame:
+    """``docs`` with ``secrets``, an array of (kind, start, end), instead of the text; ``path``: the vocabulary;
+    ``least``: the length from which a run of key characters is tested.
 
     Null texts count as empty and, as texts without secrets, get an empty array. Repeated rows each keep theirs. Whole texts are
     read, one at a time, however long. All other columns stay, whatever their names; one named ``secrets`` is replaced.
@@ -111,7 +129,7 @@ def find_secrets(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             for value in batch.column(len(kept)):
                 t = value.as_py() or ""
                 base = base_spans(t)
-                spans = sorted(base + random_spans(t, base, path))
+                spans = sorted(base + random_spans(t, base, path, least))
                 rows.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(span))], names=[*kept, "secrets"])
 
@@ -119,7 +137,11 @@ def find_secrets(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def secret_digest(found: DataFrame) -> DataFrame:
-    """Counts and digests of the ``secrets`` column of ``find_secrets``, by DataFrame functions."""
+    """Counts and digests of the ``secrets`` column of ``find_secrets``, by DataFrame functions.
+
+    Empty arrays, as of null, empty and clean texts, have counts 0 and the digest of an empty string; repeated rows each keep
+    theirs, other columns are left out, an empty table stays empty.
+    """
     base = F.filter("secrets", lambda s: s["kind"] != KINDS[3])
 
     def joined(spans):

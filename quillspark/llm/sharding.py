@@ -43,14 +43,15 @@ class _Target:
         self.group = None  # the text's key once the search is over the ids of one text
         self.shift, self.prefix, self.below = BITS, 0, 0
         self.cut = None  # (h, d): the first key beyond
+        self.torn = False  # whether it wanted to cut inside rows of one text and one id
 
     def key(self, prefix: int, shift: int) -> tuple[int, int]:
         return (prefix << shift, -1) if self.group is None else (self.group, prefix << shift)
 
-    def refine(self, bins: list[tuple[int, int, int, int]], shift: int, near: float) -> None:
-        """bins: (bin, bytes, least key, greatest key) of the bracket in order."""
+    def refine(self, bins: list[tuple[int, int, int, int, int]], shift: int, near: float) -> None:
+        """bins: (bin, bytes, least key, greatest key, rows) of the bracket in order."""
         below = self.below
-        for b, size, least, greatest in bins:
+        for b, size, least, greatest, rows in bins:
             if below + size >= self.at:
                 break
             below += size
@@ -58,6 +59,7 @@ class _Target:
         if least == greatest:  # one text, or one row key
             if self.group is not None or min(low, high) <= near:
                 first = least + (high < low)
+                self.torn = rows > 1 and min(low, high) > near
                 self.cut = (first, -1) if self.group is None else (self.group, first)
             else:
                 self.group, self.shift, self.prefix, self.below = least, BITS, 0, below
@@ -73,11 +75,11 @@ def probe_bits(targets: int, brackets: int) -> int:
     return max(1, min(wanted, (MOST_PROBES // brackets).bit_length() - 1))
 
 
-def splitters(keys: DataFrame, shards: int, bucket_bytes: int = BUCKET_BYTES) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(first keys of shards 1.., first keys of buckets 1..) from a table (h, d, size)."""
+def splitters(keys: DataFrame, shards: int, bucket_bytes: int = BUCKET_BYTES) -> tuple[list[tuple[int, int]], list[tuple[int, int]], bool]:
+    """(first keys of shards 1.., first keys of buckets 1.., whether repeated rows are too many to stay together) from a table (h, d, size)."""
     total = keys.agg(F.sum("size")).first()[0] or 0
     if not total:
-        return [(1 << BITS, -1)] * (shards - 1), [(1 << BITS, -1)] * (shards - 1)
+        return [(1 << BITS, -1)] * (shards - 1), [(1 << BITS, -1)] * (shards - 1), False
     buckets = min(MOST_BUCKETS, math.ceil(total / bucket_bytes))
     cuts = [_Target(total * i / shards, True) for i in range(1, shards)]
     loose = [_Target(total * i / buckets, False) for i in range(1, buckets)]
@@ -97,14 +99,14 @@ def splitters(keys: DataFrame, shards: int, bucket_bytes: int = BUCKET_BYTES) ->
             column = "d" if group else "h"
             outer = F.col("h") if group else F.lit(0).cast("long")
             counted = rows.groupBy(outer.alias("g"), F.shiftright(column, down).alias("bin")).agg(
-                F.sum("size"), F.min(column), F.max(column)).collect()
+                F.sum("size"), F.min(column), F.max(column), F.count("*")).collect()
             by: dict = {}
             for g, b, *rest in sorted(counted):
                 by.setdefault((g, b >> (shift - down)), []).append((b, *rest))
             for t in mine:
                 t.refine(by[(t.group if group else 0, t.prefix)], down, near[t.exact])
     shard_cuts = [t.cut for t in cuts]
-    return shard_cuts, sorted({*shard_cuts, *(t.cut for t in loose)})
+    return shard_cuts, sorted({*shard_cuts, *(t.cut for t in loose)}), any(t.torn for t in cuts + loose)
 
 
 def _bucketed(df: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
@@ -126,16 +128,23 @@ def _bucketed(df: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
 def shard_by_bytes(docs: DataFrame, shards: int = 8, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` (with doc_id) with size, shard and slot; columns of those names are replaced. Law: near equal bytes.
 
-    Null texts have size 1 and group with empty ones. Rows that agree in text and id stay together. Equal texts share a
-    shard unless a shard's end falls inside their group. All other columns stay, whatever their names. An empty table gives
+    Null texts have size 1 and group with empty ones. Rows that agree in text and id stay together unless they are too many for
+    a shard or bucket; then the rows are numbered in a table, and the number counts with the id. Equal texts share a shard
+    unless a shard's end falls inside their group. All other columns stay, whatever their names. An empty table gives
     an empty result.
     """
     own = [f"c{i}" for i in range(len(docs.columns))]
     at = {c.lower(): o for c, o in zip(docs.columns, own, strict=True)}
-    body = F.col(at[text.lower()])
-    keyed = docs.toDF(*own).withColumns({"h": key60(body), "d": key60(F.col(at["doc_id"])), "size": byte_size(body)})
+    body, doc_id = F.col(at[text.lower()]), F.col(at["doc_id"])
+    keyed = docs.toDF(*own).withColumns({"h": key60(body), "d": key60(doc_id), "size": byte_size(body)})
     keys = written(keyed.select("h", "d", "size"), "shard-keys")
-    shard_cuts, cuts = splitters(keys, shards, bucket_bytes)
+    shard_cuts, cuts, torn = splitters(keys, shards, bucket_bytes)
+    if torn:
+        discarded(keys)
+        numbered = written(docs.toDF(*own).withColumn("number", F.monotonically_increasing_id()), "shard-rows")
+        keyed = numbered.withColumns({"h": key60(body), "d": key60(F.concat_ws(" ", doc_id, "number")), "size": byte_size(body)})
+        keys = written(keyed.select("h", "d", "size"), "shard-keys")
+        shard_cuts, cuts, _ = splitters(keys, shards, bucket_bytes)
     counts = dict(_bucketed(keys, cuts).groupBy("bucket").count().collect())
     discarded(keys)
     places, slot, before = [], 0, -1

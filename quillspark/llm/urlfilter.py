@@ -19,10 +19,14 @@ BROADCAST_FOUND = 200_000
 PREFIX_HEX = 8
 
 
+def ascii_lower(s: Column) -> Column:
+    return F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def url_host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty for null or without ``://``."""
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return ascii_lower(rest)
 
 
 def url_path(url: Column) -> Column:
@@ -38,10 +42,12 @@ def _keyed(df: DataFrame) -> DataFrame:
 def matched_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """One row (host, path, rule, verdict) for each distinct (host, path) of ``urls`` that some rule fits.
 
-    A rule's path may begin with any character; its host never reaches into the path.
+    A rule's path may begin with any character; its host never reaches into the path and, as those of urls, counts in lower
+    case. Null parts disable a rule; repeated rules and urls count once; very long ones are read whole; other columns take no part;
+    an empty table on either side gives no rows.
     """
     rules = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isNotNull())
-    rules = rules.select("host", "path", "verdict").distinct()
+    rules = rules.select(ascii_lower(F.col("host")).alias("host"), "path", "verdict").distinct()
     facts = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths"), F.sum(bytes_of(rules)).alias("bytes")).first()
     labels = F.split("host", r"\.")
     suffixes = F.transform(
