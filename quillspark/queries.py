@@ -15,6 +15,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from quillspark import queries_records
 from quillspark.functions.money import date_text, money, percent
 from quillspark.operators.comparing import FIELDS, line_boxes, model_summary, with_matches
 from quillspark.operators.payloads import ocr_answer_text
@@ -483,11 +484,11 @@ SQL = {
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in QUERIES}
+    return {q.__name__: q for q in QUERIES + queries_records.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | queries_records.SQL
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

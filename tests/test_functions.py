@@ -7,7 +7,7 @@ from quillspark.functions.money import date_text, date_value, money, percent, tw
 from quillspark.functions.text import compact, group, lines, present, trimmed, whole
 from quillspark.operators.comparing import with_matches
 from quillspark.operators.payloads import header_map, http_ocr_text
-from quillspark.operators.pseudonyms import company_mentions, pseudonymized, text_mentions, token_table
+from quillspark.operators.pseudonyms import field_mentions, pseudonymized, replaced_everywhere, text_mentions, token_table, values_in
 from quillspark.operators.routing import layout
 from quillspark.operators.urls import url_allowed
 
@@ -67,7 +67,7 @@ def test_nulls_match(spark):
 
 def test_pseudonyms(spark):
     docs = spark.createDataFrame([(1, "乙方商店 甲方有限公司"), (2, "甲方有限公司 x"), (3, None)], "doc_id long, text string")
-    mentions = company_mentions(docs)
+    mentions = text_mentions(docs)
     out = {r["doc_id"]: r["text"] for r in pseudonymized(docs, token_table(mentions), mentions).collect()}
     assert out == {1: "脱敏主体001有限公司 脱敏主体002有限公司", 2: "脱敏主体002有限公司 x", 3: None}
 
