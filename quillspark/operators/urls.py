@@ -12,8 +12,9 @@ from pyspark.sql import Column, functions as F
 from quillspark.functions.text import let
 
 # Address ranges that are private, loopback, link-local, multicast, reserved or unspecified.
-BLOCKED_V4 = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/29", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16",
+BLOCKED_V4 = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16",
               "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4"]
+OPEN_V4 = ["192.0.0.9/32", "192.0.0.10/32"]  # of these
 
 
 def _v4_number(host: Column) -> Column:
@@ -26,7 +27,11 @@ def _v4_number(host: Column) -> Column:
 
 # Ranges of IPv6 that are unspecified, loopback, local, multicast, documentation or reserved (mapped addresses too).
 BLOCKED_V6 = ["::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10", "fec0::/10",
-              "ff00::/8", "::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6"]
+              "ff00::/8", "::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6"]
+OPEN_V6 = ["2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]  # of these
+# Full-width forms of the signs of addresses, and the signs that they stand for.
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "。｡"
+_NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + ".."
 
 
 def _v6_digits(inside: Column) -> Column:
@@ -58,9 +63,16 @@ def _in_any(value: Column, ranges: list[tuple]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _without(blocked: list, exceptions: list) -> list:
+    """The networks ``blocked`` without ``exceptions`` inside them."""
+    for e in exceptions:
+        blocked = [part for n in blocked for part in (n.address_exclude(e) if e.subnet_of(n) else [n])]
+    return blocked
+
+
 def blocked_host(host: Column) -> Column:
     """Local names, blocked addresses, and hosts that only look like addresses: malformed ones and numeric shorthand."""
-    nets4, nets6 = ([ipaddress.ip_network(n) for n in nets] for nets in (BLOCKED_V4, BLOCKED_V6))
+    nets4, nets6 = (_without(*([ipaddress.ip_network(n) for n in nets] for nets in both)) for both in ((BLOCKED_V4, OPEN_V4), (BLOCKED_V6, OPEN_V6)))
     ranges4 = [(int(n[0]), int(n[-1])) for n in nets4]
     ranges6 = [tuple(format(int(n[i]), "032x") for i in (0, -1)) for n in nets6]
 
@@ -75,7 +87,11 @@ def blocked_host(host: Column) -> Column:
 
 
 def url_allowed(url: Column, allow_http: bool = False) -> Column:
-    """False for null, other schemes, missing hosts and blocked hosts."""
+    """False for null, other schemes, missing hosts and blocked hosts.
+
+    Tabs and line ends are no part of a URL, nor are control characters and blanks before it; full-width signs count as plain ones.
+    """
+    url = F.regexp_replace(F.translate(F.regexp_replace(url, r"[\t\r\n]", ""), _WIDE, _NARROW), r"^[\x00-\x20]+", "")
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
     fine = scheme.isin("http", "https") if allow_http else scheme == "https"
