@@ -5,12 +5,21 @@ As in ``queries``, documents come from the driver's tables and the SQL computes
 
 from __future__ import annotations
 
+import io
+import zipfile
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
 from quillspark.operators.pseudonyms import field_mentions, pseudonymized, replaced_everywhere, text_mentions, token_table
 from quillspark.plans import synth
 from quillspark.plans.parse import parse_documents
-from quillspark.sources.scratch import saved
+from quillspark.plans.pages import first_hits, joined_pages, page_texts
+from quillspark.sources.parts import register_parts
+from quillspark.sources.scratch import saved, scratch_path
 
 _PADDED = "CASE WHEN {n} < 1000 THEN lpad(CAST({n} AS VARCHAR), 3, '0') ELSE CAST({n} AS VARCHAR) END"
 
@@ -52,9 +61,94 @@ def names_everywhere(spark, sf_dir):
     return out.select("k", F.col("body.to").alias("to_text"), F.col("body.names")[0].alias("first_name"), F.col("body.names")[1].alias("other_name"))
 
 
-QUERIES = [pseudonymize_texts, sanitize_records, names_everywhere]
+def _pack(pack: int, orders: list) -> bytes:
+    """A file of orders: a container for even numbers, a PDF with a stream an order for odd ones, a cut-off container for every ninth of the even."""
+    said = [(r["k"], f"<o><k>{r['k']}</k><price>{r['price']}</price></o>".encode()) for r in orders]
+    out = io.BytesIO()
+    if pack % 2:
+        out.write(b"%PDF-1.7\n")
+        for k, data in said:
+            out.write(b"%d 0 obj\n<< /Filter /FlateDecode >>\nstream\n" % k + zlib.compress(data) + b"\nendstream\nendobj\n")
+    else:
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as box:
+            box.writestr("OFD.xml", "<o/>")
+            for k, data in said:
+                box.writestr(f"Doc_{k}/page.xml", data)
+    return out.getvalue()[: out.tell() // 2] if pack % 18 == 0 else out.getvalue()
+
+
+def document_parts(spark, sf_dir):
+    """Orders packed into files by customer, read again as the parts of those files."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = o.select((F.col("o_custkey") % 100).alias("pack"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("decimal(20,2)").cast("string").alias("price"))
+    root = scratch_path(spark, "packs")
+    packs = orders.groupBy("pack").agg(F.collect_list(F.struct("k", "price")).alias("rows"))  # a file's orders, as many as it holds
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = pafs.FileSystem.from_uri(root)
+        system.create_dir(folder, recursive=True)
+        for batch in batches:
+            for pack, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with system.open_output_stream(f"{folder}/pack_{pack}.bin") as f:
+                    f.write(_pack(pack, rows))
+            yield batch.select([0])
+
+    packs.mapInArrow(write, "pack long").count()
+    register_parts(spark)
+    parts = spark.read.format("document_parts").option("partitionBytes", 4 << 20).option("pattern", r".*\.bin").load(root)
+    pack = F.regexp_extract("path", r"pack_(\d+)\.bin$", 1).cast("long").alias("pack")
+    price = F.regexp_extract("text", "<price>([0-9.]+)</price>", 1)
+    cents = F.when(price != "", F.round(price.cast("decimal(20,2)") * 100).cast("long"))
+    return parts.groupBy(pack, "kind").agg(F.count("*").alias("n"), F.coalesce(F.sum(cents), F.lit(0).cast("long")).alias("cents"))
+
+
+def _page_reader():
+    def read(page: bytes) -> str:
+        text = page.decode()
+        if int(text.split(" ")[0]) % 5 == 0:
+            raise ValueError("blurred")
+        return text
+
+    return read
+
+
+def pages_of_files(spark, sf_dir):
+    """Files with a page an order line, whose pages fail one by one."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    page = F.concat(F.col("l_partkey").cast("string"), F.lit(" "), F.col("l_suppkey").cast("string"))
+    rows = F.array_sort(F.collect_list(F.struct(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), page.alias("page"))))
+    files = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_join(F.transform(rows, lambda r: r["page"]), "\f").cast("binary").alias("content"))
+    return joined_pages(page_texts(files, "k", lambda content: content.split(b"\f"), _page_reader), "k")
+
+
+def codes_of_files(spark, sf_dir):
+    """The first code in files with a page an order line: whole pages first, then their ends, up to the first hit."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    page = F.concat(F.col("l_partkey").cast("string"), F.lit(":"), F.col("l_suppkey").cast("string"))
+    rows = F.array_sort(F.collect_list(F.struct(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), page.alias("page"))))
+    files = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_join(F.transform(rows, lambda r: r["page"]), "\f").cast("binary").alias("content"))
+    ladder = [("whole", lambda page: page.split(b":")[0]), ("end", lambda page: page.split(b":")[1])]
+
+    def reader():
+        return lambda data: data.decode() if data.endswith(b"7") else None
+
+    return first_hits(files, "k", lambda content: content.split(b"\f"), ladder, reader).drop("error")
+
+
+QUERIES = [document_parts, pages_of_files, codes_of_files, pseudonymize_texts, sanitize_records, names_everywhere]
+
+_PAGES = """p AS (SELECT l_orderkey AS k, l_partkey AS p, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey) - 1 AS page FROM lineitem)"""
 
 SQL = {
+    "document_parts": """WITH o AS (SELECT o_custkey % 100 AS pack, CAST(round(CAST(o_totalprice AS DECIMAL(20, 2)) * 100) AS BIGINT) AS c FROM orders)
+      SELECT pack, CASE WHEN pack % 18 = 0 THEN 'broken' WHEN pack % 2 = 1 THEN 'stream' ELSE 'xml' END AS kind,
+      CASE WHEN pack % 18 = 0 THEN 1 WHEN pack % 2 = 1 THEN count(*) ELSE count(*) + 1 END AS n, CAST(CASE WHEN pack % 18 = 0 THEN 0 ELSE sum(c) END AS BIGINT) AS cents FROM o GROUP BY pack""",
+    "pages_of_files": f"""WITH {_PAGES} SELECT k, count(*) AS n_pages, count(*) FILTER (WHERE p % 5 = 0) AS n_failed,
+      string_agg(p || ' ' || s, chr(10) ORDER BY page) FILTER (WHERE p % 5 <> 0) AS text FROM p GROUP BY k""",
+    "codes_of_files": f"""WITH {_PAGES}, t AS (SELECT k, page, 0 AS step, p AS x FROM p UNION ALL SELECT k, page, 1, s FROM p),
+      h AS (SELECT k, min((page, step, x)) AS h FROM t WHERE x % 10 = 7 GROUP BY k), n AS (SELECT k, count(*) AS n FROM p GROUP BY k)
+      SELECT n.k, CAST(h[1] AS INT) AS page, CASE h[2] WHEN 0 THEN 'whole' WHEN 1 THEN 'end' END AS attempt, CAST(h[3] AS VARCHAR) AS found,
+      CAST(coalesce(h[1] * 2 + h[2] + 1, n * 2) AS INT) AS tries FROM n LEFT JOIN h ON n.k = h.k""",
     "pseudonymize_texts": f"""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, strftime(CAST(o_orderdate AS DATE) + INTERVAL 30 YEAR, '%Y-%m-%d') AS d, CAST(CAST(o_totalprice AS DECIMAL(20, 2)) AS VARCHAR) AS m FROM orders),
       cs AS (SELECT c, row_number() OVER (ORDER BY min(k)) AS n FROM o GROUP BY c), ds AS (SELECT d, row_number() OVER (ORDER BY min(k)) AS n FROM o GROUP BY d),
       ms AS (SELECT m, row_number() OVER (ORDER BY min(k)) AS n FROM o GROUP BY m), ks AS (SELECT k, row_number() OVER (ORDER BY k) AS n FROM o GROUP BY k)
