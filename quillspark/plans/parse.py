@@ -16,7 +16,8 @@ from quillspark.operators.air import air_from_fields, air_from_text, is_air_fiel
 from quillspark.operators.invoice_fields import invoice_code, invoice_number, issue_date, issuer, parties, price_and_tax, totals
 from quillspark.operators.invoice_items import items
 from quillspark.operators.normalizing import normalized
-from quillspark.operators.payloads import lines_text, metadata_record, ocr_answer_text, qr_record
+from quillspark.operators.answers import answer_lines
+from quillspark.operators.payloads import lines_text, metadata_record, qr_record
 from quillspark.operators.rail import rail
 from quillspark.operators.records import party, raw
 from quillspark.operators.routing import layout, looks_like_invoice, too_short, unusable_text
@@ -111,7 +112,7 @@ def parse_documents(
     has_answers = "ocr_payload" in df.columns
     df = _with_inputs(df).withColumn("__failed", F.lit(None).cast("string"))
     answered = F.col("ocr_payload").isNotNull()
-    answer = ocr_answer_text(F.col("ocr_payload")) if has_answers else F.lit(None).cast("string")
+    answer = F.array_join(answer_lines("ocr_payload"), "\n") if has_answers else F.lit(None).cast("string")
     df = df.withColumn("ocr_text", F.coalesce("ocr_text", lines_text(F.col("ocr_lines")), answer))
     mode = F.coalesce("ocr_mode", F.lit("auto"))
     may_ocr = F.lit(ocr_vendor is not None) & (mode != "disabled")

@@ -7,14 +7,13 @@ import time
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.functions import udtf
 
-from quillspark.operators.payloads import answer_lines
+from quillspark.operators.answers import register_answers
 from quillspark.plans.parse import batch_summary, parse_documents
 from quillspark.sources.documents import open_container, pdf_metadata
 
 
 _OPENED = T.StructType([T.StructField("format", T.StringType()), T.StructField("broken", T.BooleanType()), T.StructField("text", T.StringType()),
                         T.StructField("fields", T.MapType(T.StringType(), T.StringType()))])
-_LINE = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("line", T.StringType())])
 
 
 @udtf(returnType=_OPENED)
@@ -30,18 +29,10 @@ class OpenDocument:
             yield ("ofd" if box["is_ofd"] else "unknown"), box["broken"], box["text"], box["fields"]
 
 
-@udtf(returnType=_LINE)
-class OcrAnswerLines:
-    """``ocr_answer_lines(answer)``: the lines of an OCR service's JSON answer."""
-
-    def eval(self, answer: str):
-        yield from enumerate(answer_lines(answer) or [])
-
-
 def register(spark: SparkSession) -> None:
     """Makes the table functions known to SQL."""
     spark.udtf.register("open_document", OpenDocument)
-    spark.udtf.register("ocr_answer_lines", OcrAnswerLines)
+    register_answers(spark)
 
 
 def parsed_view(spark: SparkSession, source: str, name: str, **options) -> DataFrame:

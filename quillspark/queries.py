@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quillspark import queries_records
 from quillspark.functions.money import date_text, money, percent
+from quillspark.operators.answers import with_answer_text
 from quillspark.operators.comparing import FIELDS, line_boxes, model_summary, with_matches
-from quillspark.operators.payloads import ocr_answer_text
 from quillspark.operators.profiles import capability_table, profile_name
 from quillspark.operators.pseudonyms import text_mentions, token_table
 from quillspark.operators.routing import layout, unusable_text
@@ -273,7 +273,7 @@ def ocr_answers(spark, sf_dir):
         F.concat(F.lit('{"Response": {"a": [{"b": {"name": "'), key, F.lit('"}}, {"Value": "'), F.col("c"), F.lit('"}]}}')),
         F.lit('{"lines": 3}')]
     answer = F.when(F.col("k") % 7 == 6, F.lit("no json")).otherwise(F.array(*shapes)[(F.col("k") % 7 % 6).cast("int")])
-    return o.select("k", ocr_answer_text(answer).alias("text"))
+    return with_answer_text(o.select("k", answer.alias("answer")), "answer", "text").drop("answer")
 
 
 def model_profiles(spark, sf_dir):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_parse import AIR, GENERAL, INVOICE, PDF, container
 
 from quillspark import cli
-from quillspark.operators.payloads import answer_lines, result_line
+from quillspark.operators.payloads import result_line
 from quillspark.operators.profiles import capabilities, profile_name, resolved
 from quillspark.plans import calibrate, tables
 from quillspark.plans.parse import parse_documents
@@ -67,7 +67,6 @@ def test_result_shapes():
     shapes = [{"text": " a ", "score": "0.5", "position": [[1, 2]]}, ("a", 0.5, [[1, 2]]), ([[1, 2]], ("a", 0.5)), ("a", 0.5), ["a"], (), {"text": None}, ("a", "x")]
     got = [tuple(result_line(x).values()) for x in shapes]
     assert got == [("a", 0.5, [[1, 2]])] * 3 + [("a", 0.5, None), ("a", None, None), ("", None, None), ("", None, None), ("a", None, None)]
-    assert answer_lines('{"Response": {"Text": "", "OcrText": " p \\n\\nq"}}') == ["p", "q"] and answer_lines("[1]") is None and answer_lines(None) is None
 
 
 def test_profiles(spark):
