@@ -49,6 +49,7 @@ def aligned(a: list, b: list) -> list[tuple[int | None, int | None]]:
 
 def compared(path: str, a, b) -> Iterator[tuple[str, str, str | None, str | None]]:
     """(path, kind, expected, actual) of each difference; kinds: changed, missing, extra."""
+    a, b = (dict(x) if isinstance(x, list) and x and all(isinstance(y, tuple) for y in x) else x for x in (a, b))  # maps come as pairs
     if isinstance(a, dict) and isinstance(b, dict):
         for name in [*a, *(n for n in b if n not in a)]:
             yield from compared(f"{path}.{name}" if path else name, a.get(name), b.get(name))
@@ -86,7 +87,7 @@ def differences(expected: DataFrame, actual: DataFrame, key: str, column: str =
     a, b = expected.select(key, F.col(column).alias("a")).alias("e"), actual.select(F.col(key).alias("key_b"), F.col(column).alias("b"), F.lit(True).alias("there")).alias("f")
     both = a.withColumn("here", F.lit(True)).join(b, F.col(key).eqNullSafe(F.col("key_b")), "full")
     both = both.select(F.when(F.col("here"), F.col(key)).otherwise(F.col("key_b")).alias(key), "a", "b", F.coalesce("here", F.lit(False)).alias("here"), F.coalesce("there", F.lit(False)).alias("there"))
-    both = both.where(~(F.col("here") & F.col("there")) | ~F.col("a").eqNullSafe(F.col("b")))
+    both = both.where(~(F.col("here") & F.col("there")) | ~F.to_json(F.struct(F.col("a").alias("x"))).eqNullSafe(F.to_json(F.struct(F.col("b").alias("x")))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

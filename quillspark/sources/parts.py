@@ -123,7 +123,9 @@ def planned(files: list[tuple[str, int]], most: int, least: int = 1) -> list[lis
     return [sorted(x) for x in out]
 
 
-def _read(options: dict, partition: _Files) -> Iterator[pa.RecordBatch]:
+def _read(options: dict, partition: _Files | None) -> Iterator[pa.RecordBatch]:
+    if partition is None:  # Spark's only partition where none is planned
+        return
     system, _ = _opened(options["path"])
     held, size = [], 0
     for path in partition.files:
