@@ -264,37 +264,52 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: Threshold) -> DataF
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b); root is the least node that is connected with it.
 
-    Large-star and small-star steps in turn, until the edges stay; they take a logarithmic number of rounds.
+    Large-star and small-star steps in turn; they take a logarithmic number of rounds. They end when each node is the least
+    of its star or has one neighbour, which the first table of a round shows; that table holds the roots then.
     """
     def both_ways(e: DataFrame) -> DataFrame:
         return e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def kept(e: DataFrame) -> tuple[DataFrame, tuple]:
-        """``e`` as a table, and what tells it from another; a task that ran twice costs a further round at most."""
-        table = written(e, "components", total=F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")))
-        return table, (table.written_size[0], *table.facts)
-
     def named(e: DataFrame, least: DataFrame) -> DataFrame:
         """``e`` with the root of its a. Both sides are tables, so that a node with very many edges can be split at run time."""
         return e.join(small_enough(least, BROADCAST_ROWS), "a")
 
-    now, state = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while state[0]:
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "components")
+    while True:
+        least = both_ways(now).groupBy("a").agg(F.min("b").alias("b"), F.count_if(F.col("b") < F.col("a")).alias("below"), F.count("*").alias("n"))
+        least = least.select("a", F.least("a", "b").alias("root"), F.expr("below > 1 or below = 1 and n > 1").alias("open"))
+        least = written(least, "components-least", open=F.count_if("open"))
+        if not least.facts[0]:
+            discarded(now)
+            out = least.select(F.col("a").alias("node"), "root")
+            out.written_size = least.written_size
+            return out
         # large star: the larger neighbours of a node go to the least of its neighbours and itself
-        least = both_ways(now).groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("root"))
-        least = written(least, "components-least")
         large = named(both_ways(now).where("b > a"), least).select(F.col("b").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
         large = written(large, "components-large")
         discarded(now, least)
         # small star: the smaller neighbours of a node and itself go to the least of them
         least = written(large.groupBy("a").agg(F.min("b").alias("root")), "components-least")
         small = named(large, least).select(F.explode(F.array("a", "b")).alias("x"), "root").where("x <> root")
-        before = state
-        now, state = kept(small.select(F.col("x").alias("a"), F.col("root").alias("b")).distinct())
+        now = written(small.select(F.col("x").alias("a"), F.col("root").alias("b")).distinct(), "components")
         discarded(large, least)
-        if state == before:
-            break
-    roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def trees(pointers: DataFrame) -> DataFrame:
+    """(node, root) for each node of a forest: ``pointers`` (a, b) name the parent a of each b, once a b and without circles.
+
+    Every step doubles the way that all nodes have gone, so it takes the logarithm of the depth.
+    """
+    now, moved = written(pointers.select(F.col("b").alias("node"), F.col("a").alias("root")), "components"), 1
+    while moved:
+        up = now.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        up.written_size = now.written_size
+        step = now.select("node", "root").join(small_enough(up, BROADCAST_ROWS), "root", "left")
+        step = step.select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        step = written(step, "components-up", moved=F.count_if("moved"))
+        discarded(now)
+        now, moved = step, step.facts[0]
+    roots = now.select("node", "root")
     out = written(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components-roots")
     discarded(now)
     return out
@@ -469,9 +484,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
         return texts
 
     def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-        tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        both = components(tree.unionByName(links.select("a", "b")))
-        discarded(roots)
+        """``roots`` after ``links``: only the components that these join are worked on."""
+        between = _apart(links.select("a", "b"), roots).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        merged = components(between)
+        moved = roots.join(small_enough(renamed(merged, {"root": "onto"}), BROADCAST_ROWS).withColumnRenamed("node", "root"), "root", "left")
+        new = merged.join(small_enough(roots, BROADCAST_ROWS).select("node"), "node", "left_anti")
+        both = written(moved.select("node", F.coalesce("onto", "root").alias("root")).unionByName(new.select("node", "root")), "components-roots")
+        discarded(roots, merged)
         return both
 
     near = _sides(pairs, nodes, {"size": "size", "sketch": "sketch"}).where(_sketches_near(t, "a", "b")).select("a", "b", "shared")
@@ -479,7 +498,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     texts = texts_of(near)
     best = near.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select("best.a", "b")
     checked = written(_verified(best, texts, n, t), "jaccard-checked")
-    roots = components(checked.where("linked"))
+    roots = trees(checked.where("linked"))  # the least class of a batch or bucket is the parent, and comes before all its members
     rest = _apart(near.select("a", "b").join(checked, ["a", "b"], "left_anti"), roots).select("a", "b")
     again = written(_verified(rest, texts, n, t), "jaccard-checked", linked=F.count_if("linked"))
     discarded(texts, checked, near)

@@ -121,6 +121,21 @@ def test_components_of_chains(spark):
     assert set(got.values()) == {"0000", "9000"} and len(got) == 63
 
 
+def test_roots_of_trees(spark):
+    rng = random.Random(7)
+    chain = [(f"{i:03}", f"{i + 1:03}") for i in range(100)]
+    bushes = [(f"{rng.randrange(i):03}", f"{i:03}") for i in range(201, 400) if i % 11]
+    parent = {b: a for a, b in chain + bushes}
+
+    def top(x):
+        return top(parent[x]) if x in parent else x
+
+    got = jaccard.trees(spark.createDataFrame(chain + bushes, "a string, b string")).collect()
+    assert len(got) == len({x for e in chain + bushes for x in e})
+    assert all(r["root"] == top(r["node"]) for r in got)
+    assert jaccard.trees(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
 def test_keep_first(docs):
     kept = jaccard.keep_first(docs, jaccard.jaccard_components(docs.select("doc_id", "text"), 5, 8, 10)).collect()
     least = {c for _, n, c in brute_components(ROWS, 5, 8, 10) if n}
